@@ -151,11 +151,12 @@ def _prefixes(k: int, percent: int, levels):
                 length = (n - need)[None, :] + ell
                 cost = length + VERIFY_COST * n * (gain[first + length] - gain[first]) / ell
                 best = np.argmin(cost, axis=0)
+                light = K.sums_by_row(rows, (level == 0).astype(np.int64), part.rows)[docs]
                 ell, length = (x[best, np.arange(len(docs))] for x in (ell, length))
                 take = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[take].view(np.int64)), pa.array(np.repeat(keys[docs], length)), pa.array(np.repeat(n, length).astype(np.int32)), pa.array(np.repeat(ell, length).astype(np.int32)), pa.array(level[take] > 0)],
-                    names=["token", "cls", "n", "ell", "heavy"],
+                    [pa.array(hashes[take].view(np.int64)), pa.array(np.repeat(keys[docs], length)), pa.array(np.repeat(n, length).astype(np.int32)), pa.array(np.repeat(ell, length).astype(np.int32)), pa.array(level[take] > 0), pa.array(np.repeat(light, length).astype(np.int32))],
+                    names=["token", "cls", "n", "ell", "heavy", "light"],
                 )
 
     return run
@@ -242,11 +243,12 @@ class _Join:
         sub = Window.partitionBy("token", "salt")
         posted = (
             self.docs.select("text")
-            .mapInArrow(_prefixes(self.k, self.percent, levels), "token long, cls long, n int, ell int, heavy boolean")
+            .mapInArrow(_prefixes(self.k, self.percent, levels), "token long, cls long, n int, ell int, heavy boolean, light int")
             .withColumn("salt", F.when(F.col("heavy"), F.pmod("cls", F.lit(64)) + 1).otherwise(F.lit(0)).cast("int"))
-            .select("*", F.min("cls").over(sub).alias("low"), F.max("cls").over(sub).alias("high"))
+            .withColumn("key", F.struct("light", "cls"))
+            .select("*", F.min("key").over(sub).alias("low"), F.max("key").over(sub).alias("high"))
             .where("heavy or low < high")
-            .select("token", "cls", "n", "ell", "heavy", "low")
+            .select("token", "cls", "n", "ell", "heavy", "key", "low")
             .distinct()
         )
         self.postings = self.ws.save(posted, "postings")
@@ -275,7 +277,7 @@ class _Join:
             return empty, None
         verified, labels = None, None
         open_postings = self.postings
-        for turn in range(4):
+        for turn in range(2):
             pivot = self._pivots(open_postings, turn)
             stars = pivot.where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
             if verified is not None:
@@ -283,11 +285,13 @@ class _Join:
             checked = self.verify(stars)
             verified = checked if verified is None else verified.unionByName(checked)
             labels = components(self._passed(verified), self.ws, f"star{turn}")
-            open_postings, crossing = self._open(labels, turn)
+            open_postings, crossing = self._open(pivot.drop("leader", "comp"), labels, turn)
             if not crossing or crossing <= 2 * open_postings.count():
                 break
+            if turn < 1:
+                open_postings = self._next(open_postings)
         if crossing:
-            pairs = self._crossing(open_postings, verified, turn)
+            pairs = self._crossing(open_postings, verified)
             checked = self.verify(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"))
             verified = verified.unionByName(checked)
             labels = components(self._passed(verified), self.ws, "final")
@@ -297,37 +301,52 @@ class _Join:
         return verified.where(f"shared * 100L >= joint * {self.percent}L").select("a", "b")
 
     def _pivots(self, postings: DataFrame, turn: int) -> DataFrame:
-        """Postings with their list's pivot: the smallest class, in later turns the smallest under another hash."""
+        """Postings with their list's pivot: the class with the fewest infrequent shingles of its own - the original of
+        a group of near copies rather than one of its edits - and in each later turn the next one."""
         if turn == 0:
             heavy = postings.where("heavy").groupBy("token").agg(F.min("low").alias("top"))
-            return postings.join(heavy, "token", "left").withColumn("leader", F.coalesce("top", "low")).drop("top")
-        chosen = postings.groupBy("token").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("leader"))
-        return postings.join(chosen, "token")
+            postings = postings.join(heavy, "token", "left").withColumn("low", F.coalesce("top", "low")).drop("top")
+        return postings.withColumn("leader", F.col("low.cls"))
 
-    def _open(self, labels: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    def _next(self, postings: DataFrame) -> DataFrame:
+        after = postings.groupBy("token").agg(F.min(F.when(F.col("key") > F.col("low"), F.col("key"))).alias("after"))
+        return postings.join(after, "token").withColumn("low", F.coalesce("after", "low")).drop("after")
+
+    def _open(self, postings: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, int]:
         """Postings of lists that still hold several components, and the number of pairs across components in them."""
-        held = self.postings.join(labels.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        held = postings.join(labels.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         several = held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
         still = self.ws.save(held.join(several, "token"), f"open_{turn}")
         self.ws.drop(f"open_{turn - 1}")
         by_comp = still.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))).alias("cross"))
         return still, int((by_comp.agg(F.sum("cross")).first()[0] or 0) / 2)
 
-    def _crossing(self, postings: DataFrame, verified: DataFrame, turn: int) -> DataFrame:
-        pivot = self._pivots(postings, turn).select("token", "cls", "n", "ell", "comp", "leader")
+    def _crossing(self, postings: DataFrame, verified: DataFrame) -> DataFrame:
+        """Pairs of different components that share enough of their prefixes.
+
+        Of the T shared shingles of a pair, at most max(n - prefix length) = max(T' - l) lie beyond the prefix that ends
+        first, T' being each side's own bound; so at least T - max(T' - l) are in both prefixes.
+        A prefix token that no other component holds can't be shared, so neither side may have fewer open tokens than that.
+        """
+        percent = self.percent
+        pivot = postings.select("token", "cls", "n", "ell", "comp", F.col("low.cls").alias("leader"))
+        pivot = pivot.join(postings.groupBy("cls").agg(F.count("*").alias("open")), "cls")
         gap = verified.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("gap"))
         far = gap.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "gap").union(gap.select("b", "a", "gap"))
         known = pivot.join(far, ["cls", "leader"], "left").withColumn("gap", F.when(F.col("cls") == F.col("leader"), F.lit(0.0)).otherwise(F.col("gap")))
         known = self.ws.save(known, "known")
-        x, y = known.alias("x"), known.alias("y")
-        slack = 1 - self.percent / 100 + 1e-9
+        slack = 1 - percent / 100 + 1e-9
+        bound = f"((x.n + y.n) * {percent}L + {99 + percent}L) div {100 + percent}L - greatest((x.n * {percent}L + 99) div 100 - x.ell, (y.n * {percent}L + 99) div 100 - y.ell)"
         return (
-            x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
-                   & F.expr(f"least(x.n, y.n) * 100L >= greatest(x.n, y.n) * {self.percent}L")
-                   & (F.col("x.gap").isNull() | F.col("y.gap").isNull() | (F.abs(F.col("x.gap") - F.col("y.gap")) <= slack)))
+            known.alias("x")
+            .join(known.alias("y"), F.expr(f"""
+                x.token = y.token and x.cls < y.cls and x.comp <> y.comp
+                and least(x.n, y.n) * 100L >= greatest(x.n, y.n) * {percent}L
+                and least(x.open, y.open) >= {bound}
+                and (x.gap is null or y.gap is null or abs(x.gap - y.gap) <= {slack})"""))
             .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-            .agg(F.count("*").alias("hits"), F.min(F.least("x.ell", "y.ell")).alias("ell"))
-            .where("hits >= ell")
+            .agg(F.count("*").alias("hits"), F.min(F.expr(bound)).alias("least"))
+            .where("hits >= least")
             .select("a", "b")
         )
 
