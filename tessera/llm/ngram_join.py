@@ -326,27 +326,36 @@ class _Join:
 
         Of the T shared shingles of a pair, at most max(n - prefix length) = max(T' - l) lie beyond the prefix that ends
         first, T' being each side's own bound; so at least T - max(T' - l) are in both prefixes.
-        A prefix token that no other component holds can't be shared, so neither side may have fewer open tokens than that.
+        A prefix token that no other component holds can't be shared: only open tokens count.  With the open tokens of
+        each side in one order, rarest first, a pair that shares h of them shares one at a rank with h - 1 others behind it
+        on both sides, so a list makes a pair only there; the arrays of open tokens then give the full number of hits.
         """
         percent = self.percent
         pivot = postings.select("token", "cls", "n", "ell", "comp", F.col("low.cls").alias("leader"))
-        pivot = pivot.join(postings.groupBy("cls").agg(F.count("*").alias("open")), "cls")
+        held = postings.groupBy("token").agg(F.count("*").alias("held"))
+        rarest = Window.partitionBy("cls").orderBy("held", "token")
+        pivot = pivot.join(held, "token").withColumn("rank", F.row_number().over(rarest)).withColumn("open", F.count("*").over(Window.partitionBy("cls")))
         gap = verified.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("gap"))
         far = gap.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "gap").union(gap.select("b", "a", "gap"))
         known = pivot.join(far, ["cls", "leader"], "left").withColumn("gap", F.when(F.col("cls") == F.col("leader"), F.lit(0.0)).otherwise(F.col("gap")))
         known = self.ws.save(known, "known")
         slack = 1 - percent / 100 + 1e-9
         bound = f"((x.n + y.n) * {percent}L + {99 + percent}L) div {100 + percent}L - greatest((x.n * {percent}L + 99) div 100 - x.ell, (y.n * {percent}L + 99) div 100 - y.ell)"
-        return (
+        met = (
             known.alias("x")
             .join(known.alias("y"), F.expr(f"""
                 x.token = y.token and x.cls < y.cls and x.comp <> y.comp
                 and least(x.n, y.n) * 100L >= greatest(x.n, y.n) * {percent}L
-                and least(x.open, y.open) >= {bound}
+                and least(x.open - x.rank, y.open - y.rank) + 1 >= {bound}
                 and (x.gap is null or y.gap is null or abs(x.gap - y.gap) <= {slack})"""))
-            .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-            .agg(F.count("*").alias("hits"), F.min(F.expr(bound)).alias("least"))
-            .where("hits >= least")
+            .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.expr(bound).alias("least"))
+            .distinct()
+        )
+        tokens = self.ws.save(known.groupBy("cls").agg(F.collect_set("token").alias("tokens")), "tokens")
+        return (
+            met.join(tokens.withColumnsRenamed({"cls": "a", "tokens": "left"}), "a")
+            .join(tokens.withColumnsRenamed({"cls": "b", "tokens": "right"}), "b")
+            .where(F.size(F.array_intersect("left", "right")) >= F.col("least"))
             .select("a", "b")
         )
 
