@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from tessera.llm import ngram_join
+from tessera.llm import decontaminate, ngram_join, packing, pii, quality_knn, quality_rules, token_scan, toxic_crf, url_filter, warc
 
 
 def queries():
-    return {"op1_ngram_jaccard_join": ngram_join.query}
+    return {
+        "op1_ngram_jaccard_join": ngram_join.query,
+        "op2_quality_rules": quality_rules.query,
+        "op3_decontamination": decontaminate.query,
+        "op4_warc": warc.query,
+        "op5_pii": pii.query,
+        "op6_token_counts": token_scan.query,
+        "op7_best_fit_packing": packing.query,
+        "op8_quality_classifier": quality_knn.query,
+        "op9_url_filter": url_filter.query,
+        "op10_toxicity": toxic_crf.query,
+    }
 
 
 def oracle_sql():
+    """WARC digests in SQL; the others are tested against brute force, round trips or held-out labels.
+
+    DuckDB has sha1 in hex only, and no code-point-exact multi-pattern scan, shingle components or learned scores.
+    """
     return {}

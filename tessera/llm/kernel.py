@@ -88,12 +88,16 @@ class Slice:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.n_words)
 
-    def word_hashes(self) -> np.ndarray:
+    def span_hasher(self):
+        """A function from byte spans (starts, ends) to hashes that depend on the bytes alone."""
         up, down = _POWERS.upto(len(self.data) + 1)
         total = np.empty(len(self.data) + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE_CODE[self.data] * down[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * up[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return lambda starts, ends: mix((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+
+    def word_hashes(self) -> np.ndarray:
+        return self.span_hasher()(self.starts, self.ends)
 
     def text(self, word: int) -> bytes:
         return self.data[self.starts[word] : self.ends[word]].tobytes()
@@ -118,7 +122,8 @@ def as_binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary()) if not pa.types.is_string(column.type) else column.cast(pa.large_string()).cast(pa.large_binary())
 
 
-def slices(column: pa.Array, word_bytes: np.ndarray, lower: bool = True, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+def blocks(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(low, high, bytes, offsets) of runs of rows of about ``limit`` bytes; a longer text makes a block of its own."""
     column = as_binary(column)
     n = len(column)
     if not n:
@@ -130,24 +135,34 @@ def slices(column: pa.Array, word_bytes: np.ndarray, lower: bool = True, limit:
     while low < n:
         high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
         high = min(n, max(high, low + 1))
-        own = offsets[low : high + 1] - offsets[low]
-        part = data[offsets[low] : offsets[high]]
+        yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        low = high
+
+
+def runs(kinds: np.ndarray, offsets: np.ndarray, single: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of one kind of byte (0: none) within rows; bytes of the kind ``single`` are runs alone."""
+    size = len(kinds)
+    begin = np.zeros(size + 1, bool)
+    stop = np.zeros(size + 1, bool)
+    if size:
+        differs = kinds[1:] != kinds[:-1]
+        if single:
+            differs |= kinds[1:] == single
+        inside = kinds > 0
+        begin[0], stop[size] = inside[0], inside[-1]
+        begin[1:size] = differs & inside[1:]
+        stop[1:size] = differs & inside[:-1]
+        cut = offsets[(offsets > 0) & (offsets < size)]
+        begin[cut] |= inside[cut]
+        stop[cut] |= inside[cut - 1]
+    return np.flatnonzero(begin), np.flatnonzero(stop)
+
+
+def slices(column: pa.Array, word_bytes: np.ndarray, lower: bool = True, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+    for low, high, part, own in blocks(column, limit):
         part = LOWER[part] if lower else part
-        inside = word_bytes[part]
-        size = len(part)
-        begin = np.zeros(size + 1, bool)
-        stop = np.zeros(size + 1, bool)
-        if size:
-            begin[:size] = inside
-            begin[1:size] &= ~inside[:-1]
-            stop[1:] = inside
-            stop[1:size] &= ~inside[1:]
-            cut = own[(own > 0) & (own < size)]
-            begin[cut] |= inside[cut]
-            stop[cut] |= inside[cut - 1]
-        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
+        starts, ends = runs(word_bytes[part].view(np.uint8), own)
         yield Slice(low, high, part, own, starts, ends, np.searchsorted(starts, own))
-        low = high
 
 
 def shingle_sets(part: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
