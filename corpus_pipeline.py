@@ -4,16 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ngram_join
+from tessera.llm import decontaminate, ngram_join, packing, pii, quality_knn
 from tessera.llm.workspace import Workspace, table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_knn.keep_good(docs, table(spark, sf_dir, "labels"))
+
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
     return ngram_join.keep_one_of_each(docs)
 
 
-STAGES = [("ngram_join", dedupe)]
-#: near-duplicate groups and packing are iterative: no stage of this kind has an SQL form
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; benchmark spans are cut out of the others."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality_classifier", classify), ("ngram_join", dedupe), ("decontamination", decontaminated), ("pii", redacted), ("best_fit_packing", packed)]
+#: similarity groups, learned votes and packing have no SQL form; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
@@ -22,4 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = ws.save(stage(spark, docs, sf_dir), f"{k}_{name}")
+        if k:
+            ws.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs
