@@ -57,7 +57,7 @@ _select("math_inverse_domain", "nation", """n_nationkey, CASE WHEN n_nationkey <
 _select("math_integer_overflow", "nation", "n_nationkey, 9223372036854775807::DOUBLE + n_nationkey + 1 AS s", lambda: {"n_nationkey": "n_nationkey", "s": M.add(F.lit(9223372036854775807), c("n_nationkey").cast("long") + 1)})
 _select("math_shift", "nation", "n_nationkey, n_nationkey::BIGINT << 3 AS l, n_nationkey::BIGINT >> 1 AS r, 0::BIGINT AS z", lambda: {"n_nationkey": "n_nationkey", "l": M.shift_left(c("n_nationkey"), 3), "r": M.shift_left(c("n_nationkey"), -1), "z": M.shift_left(c("n_nationkey"), 70)})
 _select("date_render", "orders", "o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS dt", lambda: {"o_orderkey": "o_orderkey", "d": D.date(c("o_orderdate")), "t": D.time(c("o_orderdate")), "dt": D.datetime(c("o_orderdate"))})
-_select("date_julian_epoch", "events", "event_id, round(epoch_ms(ts) / 86400000.0::DOUBLE + 2440587.5, 6) AS j, CAST(floor(epoch_ms(ts) / 1000.0::DOUBLE) AS BIGINT) AS e", lambda: {"event_id": "event_id", "j": F.round(D.julianday(c("ts")), 6), "e": D.unixepoch(c("ts"))})
+_select("date_julian_epoch", "events", "event_id, round((epoch_us(ts) // 1000) / 86400000.0::DOUBLE + 2440587.5, 6) AS j, epoch_us(ts) // 1000000 AS e", lambda: {"event_id": "event_id", "j": F.round(D.julianday(c("ts")), 6), "e": D.unixepoch(c("ts"))})
 _select("date_modifiers", "orders", """o_orderkey, strftime(o_orderdate + INTERVAL 10 DAY, '%Y-%m-%d') AS a, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS y,
         strftime(o_orderdate + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS n""",
         lambda: {"o_orderkey": "o_orderkey", "a": D.date(c("o_orderdate"), "+10 days"), "m": D.date(c("o_orderdate"), "start of month"), "y": D.date(c("o_orderdate"), "start of year"), "n": D.datetime(c("o_orderdate"), "+90 minutes")})
