@@ -22,7 +22,11 @@ _KIND[0x30:0x3A] = 2
 _ODD = np.zeros(256, bool)
 _ODD[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x27, 0x7F, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
 #: distinct pieces that one worker remembers
-CACHE = 1_500_000
+CACHE = 1_000_000
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
 class PieceTokenizer:
@@ -30,6 +34,9 @@ class PieceTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self._clear()
 
     @classmethod
@@ -42,21 +49,23 @@ class PieceTokenizer:
     def _clear(self) -> None:
         self.place: dict[int, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.first, self.size = [], []
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat = np.array([i for x in encoded for i in x], np.uint16)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        """Encode many pieces as one text: every piece ends with its only id that closes a word."""
+        flat = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(flat):
+            encoded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            flat, ends = np.array([i for x in encoded for i in x], np.int64), np.cumsum([len(x) for x in encoded])
+        known = len(self.place)
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.first, self.size = _room(self.first, known + len(pieces)), _room(self.size, known + len(pieces))
         self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used
-        for h, x in zip(hashes, encoded, strict=True):
-            self.place[h] = len(self.first)
-            self.first.append(at)
-            self.size.append(len(x))
-            at += len(x)
-        self.used = at
+        self.size[known : known + len(pieces)] = np.diff(ends, prepend=0)
+        self.first[known : known + len(pieces)] = self.used + ends - self.size[known : known + len(pieces)]
+        self.place.update(zip(hashes, range(known, known + len(pieces)), strict=True))
+        self.used += len(flat)
 
     def encode(self, column: pa.Array):
         """(low, ids, offsets) for runs of rows, each row's ids closed by END; nulls are empty texts."""
@@ -82,9 +91,8 @@ class PieceTokenizer:
             if new:
                 self._learn([h for h, _ in new], [part[starts[i] : ends[i]].tobytes().decode() for _, i in new])
             place = np.array([self.place[h] for h in known], np.int64)
-            size, begin = np.array(self.size, np.int64), np.array(self.first, np.int64)
             place = place[which] if len(place) else place
-            size, begin = size[place], begin[place]
+            size, begin = self.size[place], self.first[place]
             count = np.bincount(row, weights=size, minlength=rows).astype(np.int64) if len(row) else np.zeros(rows, np.int64)
             whole = {r: self.tokenizer.encode(data[offsets[r] : offsets[r + 1]].tobytes().decode(), add_special_tokens=False).ids for r in np.flatnonzero(~plain)}
             for r, ids in whole.items():
