@@ -82,7 +82,7 @@ class Model:
             own = some[low : low + BLOCK]
             cosine = self.project(x[own]) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** POWER
+            vote = np.maximum(np.take_along_axis(cosine, near, 1).astype(float), 1e-3) ** POWER
             out[own] = (vote * self.labels[near]).sum(1) / vote.sum(1)
         return np.clip(out, 0, 1)
 
