@@ -8,6 +8,7 @@ runs in UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,7 +123,16 @@ def as_binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary()) if not pa.types.is_string(column.type) else column.cast(pa.large_string()).cast(pa.large_binary())
 
 
-def blocks(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def release() -> None:
+    """Give freed memory back at a task's end: the worker lives on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def blocks(column: pa.Array, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(low, high, bytes, offsets) of runs of rows of about ``limit`` bytes; a longer text makes a block of its own."""
     column = as_binary(column)
     n = len(column)
@@ -134,7 +144,7 @@ def blocks(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     low = 0
     while low < n:
         high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
-        high = min(n, max(high, low + 1))
+        high = min(n, low + most, max(high, low + 1))
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
 
@@ -158,8 +168,9 @@ def runs(kinds: np.ndarray, offsets: np.ndarray, single: int = 0) -> tuple[np.nd
     return np.flatnonzero(begin), np.flatnonzero(stop)
 
 
-def slices(column: pa.Array, word_bytes: np.ndarray, lower: bool = True, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    for low, high, part, own in blocks(column, limit):
+def slices(column: pa.Array, word_bytes: np.ndarray, lower: bool = True, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[Slice]:
+    """Slices of about ``limit`` bytes and at most ``most`` rows."""
+    for low, high, part, own in blocks(column, limit, most):
         part = LOWER[part] if lower else part
         starts, ends = runs(word_bytes[part].view(np.uint8), own)
         yield Slice(low, high, part, own, starts, ends, np.searchsorted(starts, own))

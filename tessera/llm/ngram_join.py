@@ -81,6 +81,7 @@ def _survey(k: int):
             blobs = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in packed]
             m = len(blobs)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["doc_id", "n", "cls", "chunk", "cells"])
+        K.release()
 
     return run
 
@@ -158,6 +159,7 @@ def _prefixes(k: int, percent: int, levels):
                     [pa.array(hashes[take].view(np.int64)), pa.array(np.repeat(keys[docs], length)), pa.array(np.repeat(n, length).astype(np.int32)), pa.array(np.repeat(ell, length).astype(np.int32)), pa.array(level[take] > 0), pa.array(np.repeat(light, length).astype(np.int32))],
                     names=["token", "cls", "n", "ell", "heavy", "light"],
                 )
+        K.release()
 
     return run
 
@@ -201,6 +203,7 @@ def _fetch(k: int, bits):
                 pick = [r for r in np.flatnonzero(size) if int(keys[r]) not in seen and not seen.add(int(keys[r]))]
                 if pick:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[pick]), batch.column(1).take(pa.array(np.array(pick) + part.low)).cast(pa.string())], names=["cls", "text"])
+        K.release()
 
     return run
 
@@ -226,6 +229,7 @@ def _compare(k: int):
                 size = np.bincount(rows, minlength=high - low)
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(shared.astype(np.int32)), pa.array((size - shared).astype(np.int32))], names=["a", "b", "shared", "joint"])
                 low = high
+        K.release()
 
     return run
 

@@ -42,7 +42,7 @@ def _repeats(part: K.Slice, k: int) -> np.ndarray:
 
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(low, matrix) for runs of rows; a text without bytes has a zero row."""
-    for part in K.slices(column, K.NON_SPACE, lower=False, limit=K.SLICE_BYTES // 2):
+    for part in K.slices(column, K.NON_SPACE, lower=False, limit=K.SLICE_BYTES // 2, most=256):
         kinds = _CLASS[part.data]
         out = np.zeros((part.rows, DIMENSIONS), np.float32)
         if len(kinds) > 2:
@@ -116,6 +116,7 @@ def _scorer(model):
         for batch in batches:
             for low, x in features(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(x)), pa.array(model.value.score(x))], names=["doc_id", "score"])
+        K.release()
 
     return run
 
@@ -142,6 +143,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame
             for low, x in features(batch.column(at)):
                 keep[low : low + len(x)] = model.value.score(x) >= 0.5
             yield batch.filter(pa.array(keep))
+        K.release()
 
     return docs.mapInArrow(run, docs.schema)
 
