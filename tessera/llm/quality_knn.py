@@ -93,21 +93,30 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     def run(batches):
         for batch in batches:
             for low, x in features(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, len(x)).cast(pa.int32()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, len(x)).cast(pa.int32()), pa.array([pa.compress(r.astype(np.float16).tobytes(), codec="zstd", asbytes=True) for r in x], pa.binary())], names=["label", "x"])
 
     rows = sample(docs, labels, "quality", {0: most, 1: most}).mapInArrow(run, "label int, x binary").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
     if not rows:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     y = np.array([r[0] for r in rows], float)
-    x = np.stack([np.frombuffer(bytes(r[1]), np.float16) for r in rows]).astype(np.float32)
-    weights = (1 + np.log((1 + len(x)) / (1 + (x > 0).sum(0)))).astype(np.float32)
-    used = np.flatnonzero(x.any(0))
-    _, _, right = np.linalg.svd(x[:, used] * weights[used], full_matrices=False)
-    basis = np.zeros((DIMENSIONS, min(RANK, len(right))), np.float32)
-    basis[used] = right[: basis.shape[1]].T
+    row = lambda r: np.frombuffer(pa.decompress(bytes(r[1]), decompressed_size=2 * DIMENSIONS, codec="zstd", asbytes=True), np.float16)
+    times = np.zeros(DIMENSIONS, np.int64)
+    for r in rows:
+        times += row(r) > 0
+    used = np.flatnonzero(times)  # only these columns are ever held densely here
+    x = np.empty((len(rows), len(used)), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = row(r)[used]
+    weights = (1 + np.log((1 + len(x)) / (1 + times))).astype(np.float32)
+    weighted = x * weights[used]
+    _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(float)) if len(used) else (None, np.zeros((0, 1)))
+    right = vectors[:, ::-1][:, : min(RANK, len(rows))]
+    basis = np.zeros((DIMENSIONS, max(1, right.shape[1])), np.float32)
+    basis[used, : right.shape[1]] = right
     model = Model(weights, basis, np.zeros((0, basis.shape[1]), np.float32), y, float(y.mean()))
-    model.vectors = model.project(x).astype(np.float32)
+    projected = weighted @ basis[used]
+    model.vectors = (projected / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     return model
 
 
