@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import kernel as K
 from tessera.llm.tokens import PieceTokenizer
 from tessera.llm.workspace import Workspace, partitions, table
 
@@ -81,6 +82,7 @@ def _pieces(path: str, capacity: int):
                     [batch.column(0).take(pa.array(low + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(codes, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        K.release()
 
     return run
 

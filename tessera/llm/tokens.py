@@ -21,7 +21,7 @@ _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _KIND[0x30:0x3A] = 2
 _ODD = np.zeros(256, bool)
 _ODD[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x27, 0x7F, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
-#: distinct pieces that one worker remembers
+#: distinct pieces that one worker remembers, some 30 bytes each
 CACHE = 1_000_000
 
 
@@ -47,24 +47,32 @@ class PieceTokenizer:
         return cls._own[path]
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        # sorted hashes of known pieces, and where each one's ids begin and how many they are
+        self.hashes = np.zeros(0, np.uint64)
+        self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position of each of the ascending hashes among the known ones, and whether it is there."""
+        at = np.searchsorted(self.hashes, hashes)
+        found = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        found[inside] = self.hashes[at[inside]] == hashes[inside]
+        return at, found
+
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, pieces: list[str]) -> None:
         """Encode many pieces as one text: every piece ends with its only id that closes a word."""
         flat = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.int64)
         ends = np.flatnonzero(self.closes[flat]) + 1
         if len(ends) != len(pieces) or ends[-1] != len(flat):
             encoded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             flat, ends = np.array([i for x in encoded for i in x], np.int64), np.cumsum([len(x) for x in encoded])
-        known = len(self.place)
+        size = np.diff(ends, prepend=0)
         self.ids = _room(self.ids, self.used + len(flat))
-        self.first, self.size = _room(self.first, known + len(pieces)), _room(self.size, known + len(pieces))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.size[known : known + len(pieces)] = np.diff(ends, prepend=0)
-        self.first[known : known + len(pieces)] = self.used + ends - self.size[known : known + len(pieces)]
-        self.place.update(zip(hashes, range(known, known + len(pieces)), strict=True))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.first = np.insert(self.first, at, (self.used + ends - size).astype(np.uint32))
+        self.size = np.insert(self.size, at, size.astype(np.uint32))
         self.used += len(flat)
 
     def encode(self, column: pa.Array):
@@ -84,15 +92,15 @@ class PieceTokenizer:
             keep = plain[row]
             starts, ends, row = starts[keep], ends[keep], row[keep]
             codes, first, which = np.unique(piece.span_hasher()(starts, ends), return_index=True, return_inverse=True)
-            known = codes.tolist()
-            if len(self.place) > CACHE:
+            if len(self.hashes) > CACHE:
                 self._clear()
-            new = [(h, i) for h, i in zip(known, first.tolist(), strict=True) if h not in self.place]
-            if new:
-                self._learn([h for h, _ in new], [part[starts[i] : ends[i]].tobytes().decode() for _, i in new])
-            place = np.array([self.place[h] for h in known], np.int64)
-            place = place[which] if len(place) else place
-            size, begin = self.size[place], self.first[place]
+            at, found = self._places(codes)
+            if not found.all():
+                new = ~found
+                self._learn(at[new], codes[new], [part[starts[i] : ends[i]].tobytes().decode() for i in first[new]])
+                at, _ = self._places(codes)
+            place = at[which]
+            size, begin = self.size[place].astype(np.int64), self.first[place].astype(np.int64)
             count = np.bincount(row, weights=size, minlength=rows).astype(np.int64) if len(row) else np.zeros(rows, np.int64)
             whole = {r: self.tokenizer.encode(data[offsets[r] : offsets[r + 1]].tobytes().decode(), add_special_tokens=False).ids for r in np.flatnonzero(~plain)}
             for r, ids in whole.items():
