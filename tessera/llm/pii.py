@@ -16,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.kernel import release
+
+#: rows of a batch that are Python strings at a time
+ROWS = 512
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -156,8 +160,8 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            cut = batch.slice(low, 512)
+        for low in range(0, batch.num_rows, ROWS):
+            cut = batch.slice(low, ROWS)
             found = [find_all(t) for t in cut.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [cut.column(0), *(pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS),
@@ -194,12 +198,15 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [mask(t) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema[at].type)
-            if chars is not None:
-                columns[chars] = pa.array([None if t is None else len(t) for t in texts], batch.schema[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for low in range(0, batch.num_rows, ROWS):
+                cut = batch.slice(low, ROWS)
+                texts = [mask(t) for t in cut.column(at).to_pylist()]
+                columns = list(cut.columns)
+                columns[at] = pa.array(texts, cut.schema[at].type)
+                if chars is not None:
+                    columns[chars] = pa.array([None if t is None else len(t) for t in texts], cut.schema[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=cut.schema)
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
