@@ -22,11 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: bytes of an Arrow batch; the default of many MB is held by the JVM, off its heap, and by Python, per task and text column
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of the session's Python stages by bytes; a longer row makes a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 class Workspace:
     """A folder of named tables that belongs to one call of one operator."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = small_batches(spark)
         self.root = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
 
@@ -56,7 +66,7 @@ class Workspace:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:
