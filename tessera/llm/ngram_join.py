@@ -252,8 +252,9 @@ class _Join:
             .withColumn("key", F.struct("light", "cls"))
             .select("*", F.min("key").over(sub).alias("low"), F.max("key").over(sub).alias("high"))
             .where("heavy or low < high")
-            .select("token", "cls", "n", "ell", "heavy", "key", "low")
-            .distinct()
+            .groupBy("token", "salt", "cls")  # dealt by token and salt already: no second shuffle
+            .agg(F.max("ell").alias("ell"), *(F.first(c).alias(c) for c in ("n", "heavy", "key", "low")))
+            .drop("salt")
         )
         self.postings = self.ws.save(posted, "postings")
         return self.postings
@@ -289,11 +290,11 @@ class _Join:
             checked = self.verify(stars)
             verified = checked if verified is None else verified.unionByName(checked)
             labels = components(self._passed(verified), self.ws, f"star{turn}")
-            open_postings, crossing = self._open(pivot.drop("leader", "comp"), labels, turn)
+            open_postings, crossing = self._open(pivot, labels, turn)
             if not crossing or crossing <= 2 * open_postings.count():
                 break
             if turn < 1:
-                open_postings = self._next(open_postings)
+                open_postings = open_postings.withColumn("low", F.coalesce("after", "low"))
         if crossing:
             pairs = self._crossing(open_postings, verified)
             checked = self.verify(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"))
@@ -312,16 +313,21 @@ class _Join:
             postings = postings.join(heavy, "token", "left").withColumn("low", F.coalesce("top", "low")).drop("top")
         return postings.withColumn("leader", F.col("low.cls"))
 
-    def _next(self, postings: DataFrame) -> DataFrame:
-        after = postings.groupBy("token").agg(F.min(F.when(F.col("key") > F.col("low"), F.col("key"))).alias("after"))
-        return postings.join(after, "token").withColumn("low", F.coalesce("after", "low")).drop("after")
-
     def _open(self, postings: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, int]:
-        """Postings of lists that still hold several components, and the number of pairs across components in them."""
-        held = postings.join(labels.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        several = held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+        """Postings of lists that still hold several components, and the number of pairs across components in them.
+
+        One aggregate of each list gives all that later steps ask of it: whether it is open, its length (``held``) and
+        the key that follows its pivot's (``after``), so the postings are joined to it once a turn.
+        """
+        held = postings.select("token", "cls", "n", "ell", "key", "low").join(labels.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        several = (
+            held.groupBy("token")
+            .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("held"), F.min(F.when(F.col("key") > F.col("low"), F.col("key"))).alias("after"))
+            .where("x <> y")
+            .select("token", "held", "after")
+        )
         still = self.ws.save(held.join(several, "token"), f"open_{turn}")
-        self.ws.drop(f"open_{turn - 1}")
+        self.ws.drop(f"open_{turn - 1}" if turn else "postings")
         by_comp = still.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))).alias("cross"))
         return still, int((by_comp.agg(F.sum("cross")).first()[0] or 0) / 2)
 
@@ -335,10 +341,9 @@ class _Join:
         on both sides, so a list makes a pair only there; the arrays of open tokens then give the full number of hits.
         """
         percent = self.percent
-        pivot = postings.select("token", "cls", "n", "ell", "comp", F.col("low.cls").alias("leader"))
-        held = postings.groupBy("token").agg(F.count("*").alias("held"))
+        pivot = postings.select("token", "cls", "n", "ell", "comp", "held", F.col("low.cls").alias("leader"))
         rarest = Window.partitionBy("cls").orderBy("held", "token")
-        pivot = pivot.join(held, "token").withColumn("rank", F.row_number().over(rarest)).withColumn("open", F.count("*").over(Window.partitionBy("cls")))
+        pivot = pivot.withColumn("rank", F.row_number().over(rarest)).withColumn("open", F.count("*").over(Window.partitionBy("cls")))
         gap = verified.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("gap"))
         far = gap.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "gap").union(gap.select("b", "a", "gap"))
         known = pivot.join(far, ["cls", "leader"], "left").withColumn("gap", F.when(F.col("cls") == F.col("leader"), F.lit(0.0)).otherwise(F.col("gap")))
