@@ -10,6 +10,9 @@ verify.
 Equal sets are one class from the start, so exact copies never meet in the join.  Within a shingle's posting list the
 members first meet only one pivot (a star, not all pairs); verified stars are merged into components, and only members
 of different components meet afterwards, pruned by the triangle inequality of the Jaccard distance to their pivot.
+
+That gives the components, but not every link inside them.  Where links are counted, the sets of each component that is
+not yet a clique are held against each other in full, in blocks, by products of their incidence matrices.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ ELLS = np.array([1, 2, 4, 8, 16, 32, 64])
 VERIFY_COST, LIGHT_PARTNERS = 0.1, 0.1
 NO_ID = -(1 << 63)
 BITS = 1 << 24
+#: sets and shingles of a block of a component, on average, and cells of a dense incidence matrix at a time
+BLOCK_SETS, BLOCK_SHINGLES, DENSE = 1024, 1 << 20, 1 << 22
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -234,6 +239,62 @@ def _compare(k: int):
     return run
 
 
+def _members(k: int, bits):
+    """(cls, shingle hashes) of the documents that the bit set names, each class once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen = bits.value, set()
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted[_bit(_ids(batch.column(0)))]))
+            for part in K.slices(batch.column(1), K.NON_SPACE):
+                rows, hashes = K.shingle_sets(part, k)
+                size, keys = _class_keys(rows, hashes, part.rows)
+                pick = [r for r in np.flatnonzero(size) if int(keys[r]) not in seen and not seen.add(int(keys[r]))]
+                if pick:
+                    hashes, ends = hashes[np.argsort(rows, kind="stable")], np.cumsum(size)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[pick]), pa.array([hashes[ends[r] - size[r] : ends[r]].tobytes() for r in pick], pa.binary())], names=["cls", "hashes"])
+        K.release()
+
+    return run
+
+
+def _shared(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """n x n counts of shared hashes; (row, hash) pairs are distinct."""
+    _, token, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    keep = times[token] > 1
+    rows, token = rows[keep], token[keep]
+    order = np.argsort(token, kind="stable")
+    rows, token = rows[order], token[order]
+    token = np.cumsum(np.diff(token, prepend=token[:1]) != 0)
+    shared = np.zeros((n, n), np.int64)
+    wide = max(1, DENSE // n)
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, wide):
+        i, j = np.searchsorted(token, [low, low + wide])
+        held = np.zeros((n, int(token[j - 1]) - low + 1), np.float32)
+        held[rows[i:j], token[i:j] - low] = 1
+        shared += np.rint(held @ held.T).astype(np.int64)
+    return shared
+
+
+def _degrees(percent: int):
+    """Links of each set of a block pair: between the two blocks, or inside the block that meets itself."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, held in pdf.drop_duplicates("cls").groupby("comp", sort=False):
+            sets = [np.frombuffer(x, np.uint64) for x in held["hashes"]]
+            size, block = np.array([len(x) for x in sets]), held["block"].to_numpy()
+            shared = _shared(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets))
+            linked = shared * 100 >= (size[:, None] + size[None, :] - shared) * percent
+            if held["p"].iloc[0] != held["q"].iloc[0]:
+                linked &= block[:, None] != block[None, :]
+            np.fill_diagonal(linked, False)
+            out.append(pd.DataFrame({"cls": held["cls"].to_numpy(), "n_links": linked.sum(axis=1)}))
+        return pd.concat(out)
+
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, ws: Workspace):
         self.docs, self.k, self.percent, self.ws, self.spark = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), k, percent, ws, docs.sparkSession
@@ -305,6 +366,36 @@ class _Join:
     def _passed(self, verified: DataFrame) -> DataFrame:
         return verified.where(f"shared * 100L >= joint * {self.percent}L").select("a", "b")
 
+    def degrees(self, edges: DataFrame, labels: DataFrame) -> DataFrame:
+        """(cls, n_links): the number of sets that each set links to, all pairs of a component considered.
+
+        Sets link only inside components, so components that the found links make cliques are settled.  Each of the
+        others is dealt into blocks by the sets' keys, every two blocks meet once, and only counts leave a meeting; many
+        small components share one.
+        """
+        found = edges.select(F.col("a").alias("cls")).union(edges.select("b")).groupBy("cls").agg(F.count("*").alias("n_links"))
+        held = labels.select(F.col("node").alias("cls"), F.col("component").alias("comp")).join(self.classes, "cls").join(found, "cls")
+        whole = held.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum("n_links").alias("ends"))
+        parts = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+        whole = whole.select("comp", "total", (F.col("ends") == F.col("m") * (F.col("m") - 1)).alias("clique"), parts.alias("parts"))
+        held = self.ws.save(held.join(whole, "comp").select("cls", "comp", "rep", "n", "n_links", "clique", "parts"), "degrees")
+        settled, unsettled = held.where("clique").select("cls", "n_links"), held.where("not clique")
+        small = unsettled.where("parts = 1").agg(F.sum("n")).first()[0]
+        if small is None and unsettled.isEmpty():
+            return settled
+        bins = -(-(small or 0) // BLOCK_SHINGLES) or 1
+        bits = self.spark.sparkContext.broadcast(_bitmap(unsettled, "rep"))
+        sets = self.docs.mapInArrow(_members(self.k, bits), "cls long, hashes binary")
+        dealt = (
+            sets.join(unsettled.select("cls", "comp", "parts"), "cls")
+            .withColumn("block", F.expr("cast(pmod(xxhash64(cls), parts) as int)"))
+            .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+            .select("cls", "hashes", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(bins))).alias("bin"))
+            .withColumn("meeting", F.when(F.col("bin").isNull(), F.col("comp")).otherwise(F.col("bin")))
+        )
+        counted = dealt.groupBy(F.col("bin").isNull().alias("large"), "meeting", "p", "q").applyInPandas(_degrees(self.percent), "cls long, n_links long")
+        return settled.union(counted.groupBy("cls").agg(F.sum("n_links").alias("n_links")))
+
     def _pivots(self, postings: DataFrame, turn: int) -> DataFrame:
         """Postings with their list's pivot: the class with the fewest infrequent shingles of its own - the original of
         a group of near copies rather than one of its edits - and in each later turn the next one."""
@@ -380,16 +471,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, ws: Works
     never meet).  Repeated rows and equal sets: one class, linked.  A null doc_id takes part, but never names a
     component unless all ids of it are null (then null).  Other columns are ignored.  Sets are told apart by 64-bit hashes.
     """
+    return _labelled(docs, k, percent, ws, True)
+
+
+def _labelled(docs: DataFrame, k: int, percent: int, ws: Workspace | None, counted: bool) -> DataFrame:
+    """The join's result; n_links is 0 unless links are counted."""
     ws = ws or Workspace(docs.sparkSession, "ngram")
     join = _Join(docs, k, percent, ws)
     edges, labels = join.links()
     named = join.classes.select(F.col("cls").alias("node"), "rep")
     if labels is not None:
         named = named.join(labels, "node", "left")
-        degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-        named = named.join(degree, "node", "left")
     else:
-        named = named.select("*", F.col("node").alias("component"), F.lit(0).cast("long").alias("n_links"))
+        named = named.withColumn("component", F.col("node"))
+    if labels is not None and counted:
+        named = named.join(join.degrees(edges, labels).withColumnRenamed("cls", "node"), "node", "left")
+    else:
+        named = named.withColumn("n_links", F.lit(0).cast("long"))
     named = named.select(F.col("node").alias("cls"), F.coalesce("component", "node").alias("component"), F.nullif("rep", F.lit(NO_ID)).alias("rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.join(lowest, "component").select("cls", "component_id", "n_links")
@@ -404,7 +502,7 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     The document with the smallest doc_id stays; documents without words all stay.  Rows with a null doc_id stay only
     where no row of their group has an id.  Rows that repeat both doc_id and text are one document.
     """
-    found = ngram_jaccard_join(docs, k, percent)
+    found = _labelled(docs, k, percent, None, False)
     ids = found.where("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()

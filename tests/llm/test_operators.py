@@ -75,6 +75,21 @@ def test_join_brute_force(spark, tables, k, percent):
     assert got == {i: (find(i), len(sets[i])) for i in sets}
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_join_counts_all_links(spark, monkeypatch, block):
+    # an original and 40 copies with one edit each, edited copies of copies, and a pair of their own
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    base = LONG.split()
+    texts = [LONG] + [" ".join([*base[:j], f"edit{j}", *base[j + 1 :]]) for j in range(0, 400, 10)]
+    texts += [" ".join(w if j % 40 else f"far{i}x{j}" for j, w in enumerate(base) if j < 300 + i) for i in range(12)]
+    texts += [" ".join(f"pair{j}" for j in range(60)), " ".join(f"pair{j}" for j in range(58)), texts[5], None]
+    sets = {t: shingles(t, 4) for t in texts}
+    links = {t: sum(bool(u != t and x and y and 100 * len(x & y) >= 85 * len(x | y)) for u, y in sets.items()) for t, x in sets.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_jaccard_join(docs, 4, 85).collect()}
+    assert got == {i: links[t] for i, t in enumerate(texts)} and links[LONG] >= 40 and min(links[t] for t in texts[1:41]) >= 40
+
+
 def test_quality_rules(spark, awkward, empty, tables):
     assert quality_rules.quality_rules(empty).count() == 0
     assert {r.doc_id: r.kept for r in quality_rules.quality_rules(awkward).collect()}[4] is False
