@@ -46,12 +46,15 @@ _SIGNS = re.compile("[" + "".join(re.escape(c) for c in [*HOMOGLYPHS, *INVISIBLE
 _WORD = "|".join(sorted(map(re.escape, DIGIT), key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS)})[\s-]+)?(?:(?:(?:{_WORD})(?!\w)|[0-9])(?:[\s-]+(?:{'|'.join(DOTS)})[\s-]+|[\s,-]*)){{7,}}", re.I)
 _SPELLED_TOKEN = re.compile(rf"(?P<plus>{'|'.join(PLUS)})|(?P<dot>{'|'.join(DOTS)})|(?P<digit>{_WORD}|[0-9])", re.I)
-_LONG = [w for w in DIGIT if len(w) >= 4]
 _AT = rf"(?:\s*[(\[{{<]\s*(?:{'|'.join(ATS)}|@)\s*[)\]}}>]\s*|\s+(?:{'|'.join(ATS)})\s+|\s*@\s*|_at_)"
 _DOT = rf"(?:\s*[(\[{{<]\s*(?:{'|'.join(DOTS)}|\.)\s*[)\]}}>]\s*|\s+(?:{'|'.join(DOTS)})\s+|_dot_|\.)"
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}?(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _DOT_RE, _AT_RE = re.compile(_DOT, re.I), re.compile(_AT, re.I)
-_BRACKET_AT = re.compile(rf"[(\[{{<]\s*(?:{'|'.join(ATS)}|@|{'|'.join(DOTS)}|\.)\s*[)\]}}>]|_at_", re.I)
+_PART = rf"(?:[0-9]+|(?:{_WORD})(?:[\s-]+(?:{_WORD}))*)"
+_DOTTED = re.compile(rf"(?<!\w){_PART}(?:{_DOT}{_PART}){{3}}(?!\w)", re.I)
+_DOTTED_TOKEN = re.compile(rf"(?P<dot>{_DOT})|(?P<digit>{_WORD}|[0-9])", re.I)
+#: every form of _AT and _DOT but the plain signs and "at" between words, which alone rewrite nothing
+_FORMS = re.compile(rf"\s@|@\s|_(?:at|dot)_|[(\[{{<]\s*(?:{'|'.join(ATS | DOTS)}|@|\.)\s*[)\]}}>]|\s(?:{'|'.join(DOTS)})\s", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -112,6 +115,19 @@ def _spelled_digits(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _dotted_digits(tape: Tape) -> None:
+    """Four-part addresses of any length with a disguised dot."""
+    edits = []
+    for m in _DOTTED.finditer(tape.text):
+        at, new = None, []
+        for t in _DOTTED_TOKEN.finditer(tape.text, m.start(), m.end()):
+            new.append((t.start() if at is None else at, t.end(), "." if t["dot"] else t["digit"] if t["digit"].isdigit() else DIGIT[t["digit"].lower()], t["dot"]))
+            at = t.end()
+        if any(dot not in (None, ".") for *_, dot in new):
+            edits += [x[:3] for x in new]
+    tape.rewrite(edits)
+
+
 def _addresses(tape: Tape) -> None:
     edits = []
     for m in _ADDRESS.finditer(tape.text):
@@ -126,12 +142,8 @@ def _addresses(tape: Tape) -> None:
 
 
 def _disguised(text: str) -> bool:
-    if _SIGNS.search(text) or _BRACKET_AT.search(text):
-        return True
-    low = text.lower()
-    if any(f" {w} " in low for w in DOTS):
-        return True
-    return any(w in low for w in _LONG) and _SPELLED.search(text) is not None
+    """Whether a transducer could rewrite anything: true wherever one does."""
+    return any(sign.search(text) for sign in (_SIGNS, _FORMS, _SPELLED))
 
 
 def find_all(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -142,7 +154,7 @@ def find_all(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[s
     if not _disguised(text):
         return base, base
     tape = Tape(text)
-    for step in (_look_alikes, _spelled_digits, _addresses):
+    for step in (_look_alikes, _spelled_digits, _dotted_digits, _addresses):
         step(tape)
     if tape.text == text:
         return base, base

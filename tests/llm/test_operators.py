@@ -158,6 +158,17 @@ def test_pii(awkward, empty):
     assert pii.mask("mail x@y.z or 10.0.0.1") == "mail <email> or <ip>"
 
 
+@pytest.mark.parametrize(("kind", "text"), [
+    ("email", "john @ example.com"), ("email", "x@host_dot_com"), ("email", "joe at corp dot\ncom"), ("email", "joe at corp\tdot\tcom"),
+    ("email", "a.b.c.d.e.f at corp dot com"), ("email", "a dot b dot c dot d dot e at corp dot com"),
+    ("phone", "plus one two one six two one one two one two"),
+    ("ip", "10 dot 0 dot 0 dot 1"), ("ip", "8 dot 8 dot 8 dot 8"), ("ip", "192[.]168[.]10[.]5"), ("ip", "192.168.10[.]5"), ("ip", "one dot two dot three dot four"),
+])
+def test_pii_each_disguise_alone(kind, text):
+    plain = f"; {text}; and so on"
+    assert [(k, plain[s:e]) for k, s, e in pii.find_all(plain)[1]] == [(kind, text)] and pii.find(plain) == []
+
+
 def test_tokens_and_packing(spark, awkward, empty, tables):
     from tokenizers import Tokenizer
 
