@@ -1,34 +1,66 @@
 """URL filters: host and path rules, then logistic regression on hashed character n-grams.
 
-All of it is DataFrame functions.  The regression learns from a small labelled table of URLs by gradient steps; a step
-is one aggregate over that table, and only the weights, a fixed number of slots, pass through the driver.
+All of it is DataFrame functions.  The regression learns from a small labelled table of URLs in one query: the table
+becomes one row of two arrays (the slots of each url, the urls of each slot), and gradient steps fold over them.  Only
+the weights, a fixed number of slots, pass through the driver.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.workspace import table
 
-SLOTS, STEPS, RATE = 4096, 25, 4.0
+SLOTS, STEPS, RATE, SHRINK = 4096, 30, 0.5, 1e-5
+#: urls of the labelled table that are learned from at most; the bound of a table given by the caller
+MOST_LABELLED = 5000
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-# Labelled hosts, made up for training: names of unwanted kinds, and ordinary ones.
-_BLOCK = """lucky-casino casino-royal best-casino live-casino poker-win poker-bonus bets-online sport-bets betting-tips slots-win jackpot-slots
-pills-shop buy-pills discount-pills pharma-cheap viagra-cheap replica-watches cheap-watches payday-loans quick-loans
-adult-video xxx-video adult-cam sex-chat porn-tube nude-pics hot-singles
-link-farm seo-spam click-farm spam-links ad-server track-ads adclick-track pixel-track banner-ads popup-ads
-malware-free free-crack warez-crack keygen-free phishing-login win-prize free-iphone prize-winner lottery-win crypto-doubler""".split()
-_ALLOW = """river-news city-times daily-herald science-weekly nature-review old-library museum-guide garden-notes cooking-home travel-diary
-math-lectures history-archive open-data code-docs weather-map train-times school-books music-scores film-essays health-advice
-anderson mortensen whitehall stonebridge eastwater larkmoor thornton harrington ingleside bethesda nettleton shanborough mistral orlando verdane
-university-press local-council sports-report chess-club star-atlas bird-watch language-course word-lists law-review poem-collection
-clothing-store reading-room writing-club housing-board everything-else whether-forecast other-thoughts this-and-that
-energy-report water-works bridge-plans island-ferry mountain-hut winter-trail""".split()
+# The labelled table is made by rule.  Unwanted hosts join a word of one of the usual categories of public blocklists
+# (gambling, adult, drugs, fraud, advertising, spam, malware) with a filler; ordinary hosts join an everyday word, or a
+# name spelled from syllables, with the same fillers, so that fillers teach nothing.
+UNWANTED = """casino poker betting bets roulette jackpot lottery blackjack bingo wager
+porn adult xxx sex escort nude erotic webcam
+pills viagra pharmacy steroids cialis drugs
+phishing replica payday scam fraud prize
+ads adserver banner popup tracker clicks affiliate
+spam backlinks linkfarm clickbait
+malware warez crack keygen torrent virus""".split()
+EVERYDAY = """news times herald science nature library museum garden cooking travel math history data code weather
+train school music film health council sport chess star bird language law poem energy water bridge island
+mountain winter river forest kitchen family street market city radio photo paint letter paper history theatre
+nation station thread shelter thermal brother feather north south earth order thing""".split()
+FILLERS = "best online top world king zone hub club win free cheap deals shop live easy x".split()
+
+
+def _names(n: int) -> list[str]:
+    """``n`` made-up names of two or three syllables."""
+    first, last = "ba co di fe go ha ji ku la mo ne pi ra se th ti un ve wh yo".split(), "n r s nd st ed er on es in".split()
+    return [first[i % 20] + first[(7 * i + i // 20) % 20] * (i % 3 > 0) + "aeiou"[i % 5] + last[(3 * i + i // 11) % 10] for i in range(n)]
+
+
+def labelled_rows() -> list[tuple[str, int]]:
+    """(url, label 0 or 1) by rule: each name alone or with fillers, below several domains and paths."""
+    rows = []
+    for label, names, times in ((1, UNWANTED, 8), (0, EVERYDAY + _names(160), 3)):
+        for i, name in enumerate(names):
+            for j in range(times):
+                k = 31 * i + 7 * j
+                filler = FILLERS[k % len(FILLERS)]
+                host = (f"{name}-{filler}", f"{filler}-{name}", name, f"{name}{filler}")[(i + j) % 4]
+                front, domain = ("", "www.", "blog.", "m.")[k % 4], ("example.com", "example.net", "example.org")[k % 3]
+                path = ("/", "/en/12", "/fr/345/", "/de/6.html", "/es/78")[k % 5]
+                rows.append((f"https://{front}{host}.{domain}{path}", label))
+    return rows
+
+
+def training_table(spark: SparkSession, held_out: bool | None = None) -> DataFrame:
+    """(url, label) of the table; held_out picks the fold of urls (crc32 mod 4 = 0), or the rest."""
+    listed = ", ".join(f"('{u}', {y}D)" for u, y in labelled_rows())
+    rows = spark.sql(f"SELECT url, label, crc32(encode(url, 'UTF-8')) % 4 = 0 AS held FROM VALUES {listed} AS t(url, label)")
+    return (rows if held_out is None else rows.where(F.col("held") == held_out)).select("url", "label")
 
 
 def _parts(url: str) -> tuple[Column, Column]:
@@ -38,42 +70,45 @@ def _parts(url: str) -> tuple[Column, Column]:
 
 
 def _slots(host: str, path: str) -> Column:
-    """Slots of the 3-, 4- and 5-grams of the framed host and of the path's words, repeats included."""
+    """Slots of the 3-, 4- and 5-grams of the framed host and of the path's words, repeats included, and the bias slot."""
     s = f"concat('^', {host}, '$', regexp_replace({path}, '[0-9]+', '0'), ' ')"
-    grams = [f"transform(sequence(1, greatest(length({s}) - {n - 1}, 1)), i -> cast(pmod(xxhash64(substring({s}, i, {n})), {SLOTS}) AS int))" for n in (3, 4, 5)]
-    return F.expr(f"concat({', '.join(grams)})")
+    grams = [f"transform(sequence(0, greatest(size(c) - {n}, 0)), i -> cast(pmod(xxhash64({', '.join(f'get(c, i + {j})' for j in range(n))}), {SLOTS}) AS int))" for n in (3, 4, 5)]
+    # the characters as an array: a substring would be sought from the start each time
+    return F.expr(f"concat(flatten(transform(array(split({s}, '')), c -> concat({', '.join(grams)}))), array({SLOTS}))")
 
 
-def training_table(spark: SparkSession) -> DataFrame:
-    """(url, label): the labelled hosts below several domains and paths."""
-    rows = []
-    for label, names in ((1.0, _BLOCK), (0.0, _ALLOW)):
-        for i, name in enumerate(names):
-            front, domain, path = ("", "www.", "blog.", "m.")[i % 4], ("example.com", "example.net", "example.org")[i % 3], ("/", "/en/12", "/fr/345/", "/de/6.html", "/es/78")[i % 5]
-            rows.append((f"https://{front}{name}.{domain}{path}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+def _probability(slots: str, weights: str) -> str:
+    return f"1 / (1 + exp(-aggregate({slots}, 0D, (a, h) -> a + ({weights})[h]) / sqrt(size({slots}))))"
 
 
-def _score(slots: str, weights: list[float]) -> Column:
-    listed = ",".join(f"{w:.6g}" for w in weights[:SLOTS])
-    return F.expr(f"aggregate({slots}, cast({weights[SLOTS]!r} AS double), (a, h) -> a + (cast(split('{listed}', ',') AS array<double>))[h] / sqrt(greatest(size({slots}), 1)))")
-
+def train(labelled: DataFrame, steps: int = STEPS) -> list[float]:
+    """Weights of the slots and of the bias (last) after ``steps`` full gradient steps, as one query; a slot's step
+    shrinks with the slopes it has met.
 
-def train(labelled: DataFrame) -> list[float]:
-    """Weights of the slots and the bias (last), by gradient steps over the labelled table."""
+    Of ``labelled`` (url, label) the ``MOST_LABELLED`` rows with the smallest hashes are learned from.  Null labels teach
+    nothing; an empty table gives zeros.
+    """
     host, path = _parts("url")
-    rows = labelled.select("label", host.alias("host"), path.alias("path")).select("label", _slots("host", "path").alias("slots"))
-    rows = labelled.sparkSession.createDataFrame(rows.collect(), rows.schema)  # the small table, features made once
-    n = max(1, rows.count())
-    weights = [0.0] * (SLOTS + 1)
-    speed = [1e-8] * (SLOTS + 1)
-    for _ in range(STEPS):
-        gap = rows.select(F.explode(F.concat("slots", F.array(F.lit(SLOTS)))).alias("slot"), ((F.lit(1.0) / (1 + F.exp(-_score("slots", weights))) - F.col("label")) / F.when(F.lit(True), F.sqrt(F.size("slots")))).alias("gap"))
-        for slot, g in gap.groupBy("slot").agg(F.sum("gap")).collect():  # at most SLOTS + 1 rows
-            g = g / n + 1e-4 * weights[slot] * (slot < SLOTS)
-            speed[slot] += g * g
-            weights[slot] -= RATE * g / math.sqrt(speed[slot]) / 8
-    return weights
+    rows = labelled.where("label is not null").orderBy(F.xxhash64("url", "label"), "url", "label").limit(MOST_LABELLED)
+    rows = rows.select("label", host.alias("host"), path.alias("path")).select("label", _slots("host", "path").alias("slots"))
+    table = rows.agg(F.array_sort(F.collect_list(F.struct("slots", F.col("label").cast("double").alias("label")))).alias("rows"))
+    entries = table.select(F.posexplode("rows").alias("at", "row")).select("at", F.explode("row.slots").alias("slot"), (1 / F.sqrt(F.size("row.slots"))).alias("v"))
+    summed = entries.groupBy("slot", "at").agg(F.sum("v").alias("v")).groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("urls"))
+    every = labelled.sparkSession.range(SLOTS + 1).select(F.col("id").cast("int").alias("slot")).join(F.broadcast(summed), "slot", "left")
+    lists = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "urls"))), lambda x: x["urls"]).alias("lists"))
+    gaps = f"transform(rows, r -> ({_probability('r.slots', 'state.w')} - r.label) / greatest(size(rows), 1))"
+    slopes = f"transform(array({gaps}), g -> transform(state.w, (old, s) -> {SHRINK} * old + aggregate(coalesce(lists[s], array()), 0D, (a, e) -> a + g[e.at] * e.v)))[0]"
+    speed = "zip_with(state.speed, d, (u, x) -> u + x * x)"
+    moved = f"transform(d, (x, s) -> state.w[s] - {RATE} * x / sqrt(state.speed[s] + x * x))"
+    step = f"transform(array({slopes}), d -> named_struct('w', {moved}, 'speed', {speed}))[0]"
+    start = f"named_struct('w', array_repeat(0D, {SLOTS + 1}), 'speed', array_repeat(1e-12D, {SLOTS + 1}))"
+    learned = table.crossJoin(lists).select(F.expr(f"aggregate(sequence(1, {steps}), {start}, (state, t) -> {step}).w").alias("w"))  # one row by one row
+    return list(learned.first()["w"])
+
+
+def _score(slots: str, weights: list[float]) -> Column:
+    listed = ",".join(f"{w:.8g}" for w in weights)
+    return F.expr(_probability(slots, f"cast(split('{listed}', ',') AS array<double>)"))
 
 
 def url_filter(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
@@ -81,7 +116,8 @@ def url_filter(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None)
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest wins.  Other urls are
     blocked from a score (the probability of block) of one half.  Null urls and urls without :// have an empty host and
-    path, fit no rule and are scored as such.  Rows are judged each; other columns are ignored.
+    path, fit no rule and are scored as such.  Rows are judged each, repeated ones alike; an empty table has no rows;
+    other columns are ignored.  Urls of any length are read whole.
     """
     weights = train(labelled if labelled is not None else training_table(pages.sparkSession))
     host, path = _parts("url")
@@ -92,7 +128,7 @@ def url_filter(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None)
         rule = F.when(fits, h + p) if rule is None else rule.when(fits, h + p)
         verdict = F.when(fits, v) if verdict is None else verdict.when(fits, v)
     scored = parts.select("*", _slots("host", "path").alias("slots"))
-    scored = scored.select("page_id", "host", "path", (rule if rule is not None else F.lit(None).cast("string")).alias("rule"), (verdict if verdict is not None else F.lit(None).cast("string")).alias("ruled"), (1 / (1 + F.exp(-_score("slots", weights)))).alias("score"))
+    scored = scored.select("page_id", "host", "path", (rule if rule is not None else F.lit(None).cast("string")).alias("rule"), (verdict if verdict is not None else F.lit(None).cast("string")).alias("ruled"), _score("slots", weights).alias("score"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
 
 

@@ -2,12 +2,14 @@
 
 Writing: a response record holds an HTTP message whose body is the payload in chunked framing; records longer than a
 segment are split into a first record and continuation records that name its id and their segment number.  Of equal
-payloads the one with the smallest page id is the response; the others are revisit records that refer to it.  A
-record's bytes travel as one string value, and the text writer ends each with CRLF CRLF, which is how WARC ends a
-record, so archives land in any store that Spark can write, gzip-compressed, in files of a bounded number of records.
-
-Reading: files are parsed record by record by content length; continuation records are grouped by their origin's id,
-ordered by segment number, checked for gaps and against the total length, and the chunked framing is decoded.
+payloads the one with the smallest page id is the response; the others are revisit records that refer to it.  Every
+record, its closing CRLF CRLF included, is a gzip member of its own.  The text writer puts members into files - its line
+separator is a member of no bytes, which readers of gzip skip - so archives land in any store that Spark can write, in
+files of a bounded number of bounded records.
+
+Reading: files are inflated and parsed member by member, record by record, by content length.  Whole records are decoded
+where they are met; segments are dealt by their origin's id, sorted by segment number, and decoded one origin at a time:
+checked for gaps and against the total length, their chunked framing undone.
 """
 
 from __future__ import annotations
@@ -22,9 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.workspace import Workspace, table
+from tessera.llm.kernel import release
+from tessera.llm.workspace import Workspace, few, lookup, table
 
-SEGMENT, CHUNK, PER_FILE = 16384, 4096, 2000
+SEGMENT, CHUNK, PER_FILE = 16384, 4096, 4000
+#: bytes inflated at a time, and bytes of rows of an Arrow batch
+PART, BATCH = 1 << 18, 1 << 21
+#: a gzip member of no bytes
+EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00" + bytes(8)
+FILES = "*.{warc,warc.gz,txt,txt.gz}"
 _DATE = "2024-01-01T00:00:00Z"
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
 
@@ -52,101 +60,148 @@ def unchunk(body: bytes) -> bytes:
         at = end + 4 + size
 
 
-def _uri(page_id: int, url: str | None) -> bytes:
+def _uri(page_id: int | None, url: str | None) -> bytes:
     return re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{page_id}").encode()
 
 
 def _record(kind: bytes, name: str, fields: list[tuple[bytes, bytes]], block: bytes) -> bytes:
     head = [(b"WARC-Type", kind), (b"WARC-Record-ID", f"<urn:page:{name}>".encode()), (b"WARC-Date", _DATE.encode()), *fields, (b"Content-Length", b"%d" % len(block))]
-    return b"WARC/1.1\r\n" + b"".join(k + b": " + v + b"\r\n" for k, v in head) + b"\r\n" + block
+    return b"WARC/1.1\r\n" + b"".join(k + b": " + v + b"\r\n" for k, v in head) + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records(page_id: int, url: str | None, payload: bytes, first: int) -> Iterator[bytes]:
-    """The records of one page, each without the closing CRLF CRLF."""
-    fields = [(b"WARC-Target-URI", _uri(page_id, url)), (b"WARC-Payload-Digest", b"sha1:" + digest(payload).encode()), (b"X-Page-ID", b"%d" % page_id)]
-    if first != page_id:
-        yield _record(b"revisit", str(page_id), [*fields, (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), (b"WARC-Refers-To", f"<urn:page:{first}>".encode()), (b"Content-Type", b"application/http;msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n")
+def records(page_id: int | None, url: str | None, payload: bytes, row: int, first: int | None) -> Iterator[bytes]:
+    """The records of one page; ``first`` is the row that a revisit refers to."""
+    fields = [(b"WARC-Target-URI", _uri(page_id, url)), (b"WARC-Payload-Digest", b"sha1:" + digest(payload).encode())]
+    if page_id is not None:
+        fields.append((b"X-Page-ID", b"%d" % page_id))
+    if first is not None:
+        yield _record(b"revisit", str(row), [*fields, (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), (b"WARC-Refers-To", f"<urn:page:{first}>".encode()), (b"Content-Type", b"application/http;msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + _chunked(payload)
     fields.append((b"Content-Type", b"application/http;msgtype=response"))
     cuts = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
-    yield _record(b"response", str(page_id), fields + [(b"WARC-Segment-Number", b"1")] * (len(cuts) > 1), cuts[0])
+    yield _record(b"response", str(row), fields + [(b"WARC-Segment-Number", b"1")] * (len(cuts) > 1), cuts[0])
     for n, cut in enumerate(cuts[1:], 2):
-        more = [(b"WARC-Segment-Origin-ID", f"<urn:page:{page_id}>".encode()), (b"WARC-Segment-Number", b"%d" % n), (b"WARC-Target-URI", _uri(page_id, url))]
+        more = [(b"WARC-Segment-Origin-ID", f"<urn:page:{row}>".encode()), (b"WARC-Segment-Number", b"%d" % n), (b"WARC-Target-URI", _uri(page_id, url))]
         if n == len(cuts):
             more.append((b"WARC-Segment-Total-Length", b"%d" % len(block)))
-        yield _record(b"continuation", f"{page_id}:{n}", more, cut)
+        yield _record(b"continuation", f"{row}:{n}", more, cut)
+
+
+def _member(record: bytes) -> bytes:
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
+class _Rows:
+    """Rows gathered into Arrow batches of about ``BATCH`` bytes."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.rows, self.size = schema, [], 0
+
+    def add(self, row: tuple, size: int) -> Iterator[pa.RecordBatch]:
+        self.rows.append(row)
+        self.size += size + 64
+        if self.size >= BATCH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*self.rows, strict=True), self.schema, strict=True)], schema=self.schema)
+            self.rows, self.size = [], 0
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _Rows(pa.schema([("record", pa.binary())]))
     for batch in batches:
-        for low in range(0, batch.num_rows, 64):
-            cut = batch.slice(low, 64).to_pydict()
-            out = [r for row in zip(cut["page_id"], cut["url"], cut["payload"], cut["first"], strict=True) for r in records(*row)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        columns = [batch.column(i) for i in range(5)]
+        for i in range(batch.num_rows):
+            for record in records(*(c[i].as_py() for c in columns)):
+                member = _member(record)
+                yield from out.add((member,), len(member))
+    yield from out.flush()
+    release()
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Archive ``pages`` (page_id, url, html) below ``path``; null html is an empty payload.
+def write(pages: DataFrame, ws: Workspace, name: str) -> str:
+    """Archive ``pages`` (page_id, url, html), a record per row, as the workspace's ``name``; returns the path.
 
-    Rows that repeat a page id are archived once, with the smallest payload digest; rows without an id can't be named
-    and are an error.
+    Null html is an empty payload.  Of rows with equal payloads that with the smallest page_id is the response, of equal
+    ids the first row; rows without an id come last and have no X-Page-ID header.  Rows are named by their place in
+    the table, which has to be read alike each time, as files are.  An empty table is an archive without records.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("key", F.sha1("payload"))
-    rows = rows.withColumn("page_id", F.coalesce("page_id", F.raise_error(F.lit("a page has no page_id")).cast("long")))
-    chosen = rows.groupBy("page_id").agg(F.min("key").alias("key"), F.count("*").alias("times"))
-    first = chosen.groupBy("key").agg(F.min("page_id").alias("first"))
-    named = chosen.join(first, "key")
-    single = rows.join(named, ["page_id", "key"])
-    if not chosen.where("times > 1").isEmpty():
-        single = single.groupBy("page_id", "key", "first").agg(F.min("payload").alias("payload"), F.min("url").alias("url"))
-    lines = single.select("page_id", "url", "payload", "first").mapInArrow(_written, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.mode("overwrite").option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records of one archive, gzip members undone."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(parts)
-    at = 0
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
+    keys = ws.save(rows.select("row", "page_id", F.sha1("payload").alias("key")), f"{name}_keys")
+    first = keys.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row")).alias("low"), F.count("*").alias("times"))
+    first = ws.save(first.where("times > 1").select("key", F.col("low.row").alias("first")), f"{name}_first")
+    again = ws.save(lookup(keys, first, "key").where("first is not null and first <> row").select("row", "first"), f"{name}_again")
+    members = rows.join(few(again), "row", "left").select("page_id", "url", "payload", "row", "first").mapInArrow(_written, "record binary")
+    out = members.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("compression", "none").option("maxRecordsPerFile", PER_FILE)
+    out.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(ws.path(name))
+    ws.drop(f"{name}_keys", f"{name}_first", f"{name}_again")
+    return ws.path(name)
+
+
+def inflated(data) -> Iterator[bytes]:
+    """The bytes of a file in parts, gzip members undone one after the other."""
+    data = memoryview(data)
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[i : i + PART]) for i in range(0, len(data), PART))
+        return
+    at, member, begun = 0, zlib.decompressobj(31), False
     while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        heads = {m[1].decode().lower(): m[2].decode() for m in _HEADER.finditer(data, data.index(b"\r\n", at) + 2, end)}
-        size = int(heads["content-length"])
-        if end + 4 + size > len(data):
+        given = bytes(data[at : at + PART])
+        at += len(given)
+        while given:
+            out, begun = member.decompress(given, PART), not member.eof
+            if out:
+                yield out
+            if member.eof:
+                given, member, begun = member.unused_data, zlib.decompressobj(31), False
+            else:
+                given = member.unconsumed_tail
+    if begun:
+        raise ValueError("a gzip member is cut")
+
+
+def parse(data) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records of one archive; no more than a record and a part is held."""
+    parts, held, at, over = inflated(data), bytearray(), 0, False
+
+    def need(n: int) -> bool:
+        nonlocal held, at, over
+        while len(held) - at < n and not over:
+            if at:
+                del held[:at]
+                at = 0
+            part = next(parts, None)
+            over = part is None
+            held += part or b""
+        return len(held) - at >= n
+
+    while need(1):
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not need(len(held) - at + 1):
+                raise ValueError("a record's header is cut")
+        if not held.startswith(b"WARC/1.", at):
+            raise ValueError("no record where one should begin")
+        heads = {m[1].decode().lower(): m[2].decode() for m in _HEADER.finditer(held, held.index(b"\r\n", at) + 2, end)}
+        at, size = end + 4, int(heads["content-length"])
+        if not need(size):
             raise ValueError("a record is cut")
-        yield heads, data[end + 4 : end + 4 + size]
-        at = end + 8 + size
-
+        yield heads, bytes(held[at : at + size])
+        if not need(size + 4):
+            raise ValueError("a record's end is cut")
+        at += size + 4
 
-_PARSED = "type string, name string, origin string, segment int, total long, page_id long, digest string, refers_to string, block binary"
 
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
-            rows: list[tuple] = []
-            for h, block in parse(content.as_py()):
-                name = h["warc-record-id"]
-                rows.append((h["warc-type"], name, h.get("warc-segment-origin-id", name), int(h.get("warc-segment-number", 0)), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                             int(h["x-page-id"]) if "x-page-id" in h else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to"), block))
-                if len(rows) == 256:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+_SEGMENTED = "type string, name string, page_id long, digest string, refers_to string, payload_bytes long, payload binary, origin string, segment int, total long, block binary"
+_READ = "page_id long, record_type string, record_id string, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _PARSED.split(", ")])
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in ddl.split(", ")])
 
 
 def payload_of(block: bytes) -> bytes:
@@ -155,50 +210,96 @@ def payload_of(block: bytes) -> bytes:
     return unchunk(body) if re.search(rb"(?im)^transfer-encoding:[ \t]*chunked", head) else body
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            cut = batch.slice(low, 256).to_pydict()
-            payloads = [None if t == "revisit" else payload_of(b) for t, b in zip(cut["type"], cut["block"], strict=True)]
-            for p, d in zip(payloads, cut["digest"], strict=True):
-                if p is not None and d is not None and digest(p) != d:
-                    raise ValueError("a payload doesn't match its digest")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cut["page_id"], pa.int64()), pa.array(cut["type"]), pa.array(cut["name"]), pa.array(cut["refers_to"], pa.string()), pa.array([None if p is None else len(p) for p in payloads], pa.int64()), pa.array(cut["digest"], pa.string()), pa.array(payloads, pa.binary())],
-                names=["page_id", "record_type", "record_id", "refers_to_id", "payload_bytes", "payload_digest", "payload"],
-            )
-
-
-def read(spark, path: str) -> DataFrame:
+def _checked(block: bytes, stated: str | None) -> bytes:
+    payload = payload_of(block)
+    if stated is not None and digest(payload) != stated:
+        raise ValueError("a payload doesn't match its digest")
+    return payload
+
+
+def _parsed(with_payload: bool):
+    """Whole records decoded, segments as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(_schema(_SEGMENTED))
+        for batch in batches:
+            for content in batch.column(0):
+                for h, block in parse(content.as_buffer()):
+                    kind, name, stated = h["warc-type"], h["warc-record-id"], h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    page, total = (int(h[x]) if x in h else None for x in ("x-page-id", "warc-segment-total-length"))
+                    row = (kind, name, page, stated, h.get("warc-refers-to"))
+                    if segment := int(h.get("warc-segment-number", 0)):
+                        yield from out.add((*row, None, None, h.get("warc-segment-origin-id", name), segment, total, block), len(block))
+                    elif kind == "revisit":
+                        yield from out.add((*row, None, None, None, 0, None, None), 0)
+                    elif kind == "response":
+                        payload = _checked(block, stated)
+                        yield from out.add((*row, len(payload), payload if with_payload else None, None, 0, None, None), len(payload) * with_payload)
+        yield from out.flush()
+        release()
+
+    return run
+
+
+def _joined(with_payload: bool):
+    """Segments sorted by origin and number, one origin at a time."""
+
+    def whole(origin: str, parts: list[tuple]) -> tuple:
+        block = b"".join(p[-1] for p in parts)
+        if [p[0] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1][1] != len(block):
+            raise ValueError(f"segments are missing of {origin}")
+        kind, page, stated, refers = parts[0][2:6]
+        payload = _checked(block, stated)
+        return page, kind, origin, refers, len(payload), stated, payload if with_payload else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, origin, parts = _Rows(_schema(_READ)), None, []
+        for batch in batches:
+            columns = [batch.column(n) for n in ("origin", "segment", "total", "type", "page_id", "digest", "refers_to", "block")]
+            for i in range(batch.num_rows):
+                name, *part = (c[i].as_py() for c in columns)
+                if name != origin:
+                    if parts:
+                        row = whole(origin, parts)
+                        yield from out.add(row, row[4] * with_payload)
+                    origin, parts = name, []
+                parts.append(tuple(part))
+        if parts:
+            row = whole(origin, parts)
+            yield from out.add(row, row[4] * with_payload)
+        yield from out.flush()
+        release()
+
+    return run
+
+
+def read(ws: Workspace, path: str, payload: bool = True) -> DataFrame:
     """Per response or revisit record: page_id, record_type, record_id, refers_to_id, payload_bytes, payload_digest, payload.
 
-    Segmented records are whole again; a missing segment or a wrong total length is an error.  A revisit's payload and
-    size are null here.  An empty archive has no rows.
+    Reads ``.warc`` and ``.warc.gz`` files and those of ``write`` below ``path``, each file of at most 2 GB as stored.
+    Segmented records are whole again; a missing segment, a wrong total length or a payload unlike its digest is an error.
+    A revisit's payload and size are null here, and so is every payload where it isn't asked for.  Records of other kinds
+    are skipped.  An empty archive has no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    parts = files.mapInArrow(_parsed, _PARSED)
-    whole = parts.where("segment = 0").select("type", "name", "page_id", "digest", "refers_to", "block")
-    segments = parts.where("segment > 0").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("segment").alias("last"),
-        *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("type", "page_id", "digest", "refers_to")),
-    )
-    joined = segments.withColumn("block", F.concat_ws("", F.col("parts.block").cast("array<string>")).cast("binary"))
-    bad = "total is null or octet_length(block) <> total or size(parts) <> last"
-    joined = joined.withColumn("block", F.when(F.expr(bad), F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin"))).cast("binary")).otherwise(F.col("block")))
-    rows = whole.unionByName(joined.select("type", F.col("origin").alias("name"), "page_id", "digest", "refers_to", "block"))
-    return rows.mapInArrow(_decoded, "page_id long, record_type string, record_id string, refers_to_id string, payload_bytes long, payload_digest string, payload binary")
+    files = ws.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", FILES).load(path).select("content")
+    parts = ws.save(files.mapInArrow(_parsed(payload), _SEGMENTED), "parsed")
+    whole = parts.where("segment = 0").select("page_id", F.col("type").alias("record_type"), F.col("name").alias("record_id"), F.col("refers_to").alias("refers_to_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "payload")
+    dealt = parts.where("segment > 0").select("origin", "segment", "total", "type", "page_id", "digest", "refers_to", "block").repartition("origin").sortWithinPartitions("origin", "segment")
+    return whole.unionByName(dealt.mapInArrow(_joined(payload), _READ))
 
 
 def round_trip(pages: DataFrame, ws: Workspace) -> DataFrame:
-    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to - written as archives and read back.
+    """Per row of ``pages``: page_id, payload_bytes, payload_digest, record_type, refers_to - written as archives and read back.
 
-    A revisit's size is that of the response it refers to.
+    A revisit's size is that of the response it refers to; refers_to is that response's page_id, null where it has none.
+    Null html is an empty payload, repeated rows and null ids have records of their own, an empty table has no rows,
+    other columns are ignored.
     """
-    write(pages, ws.path("archives"))
-    back = ws.save(read(pages.sparkSession, ws.path("archives")).drop("payload"), "index")
-    ws.drop("archives")
+    path = write(pages, ws, "archives")
+    back = ws.save(read(ws, path, payload=False).drop("payload"), "index")
+    ws.drop("archives", "parsed")
     known = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("there"), F.col("page_id").alias("refers_to"))
-    return back.join(known, "refers_to_id", "left").select("page_id", F.coalesce("payload_bytes", "there").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return lookup(back, known, "refers_to_id").select("page_id", F.coalesce("payload_bytes", "there").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def query(spark, sf_dir):
