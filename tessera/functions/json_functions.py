@@ -445,3 +445,80 @@ def register(spark) -> None:
 
     spark.udtf.register("json_each", udtf(Each, returnType=TVF_SCHEMA))
     spark.udtf.register("json_tree", udtf(Tree, returnType=TVF_SCHEMA))
+
+    for name, f, kind in (
+        ("minify", lambda x: render(parse(x)), "string"), ("pretty", lambda x, indent: render(parse(x), indent), "string"), ("error", error_position, "long"),
+        ("patch", lambda x, y: render(merge_patch(parse(x), parse(y))), "string"), ("edit", _edited, "string"), ("remove", remove, "string"),
+        ("node", lambda x, path: _rendered(_at(x, path)), "string"), ("text", _text_at, "string"), ("type", lambda x, path: _type_at(x, path), "string"),
+        ("size", _size_at, "long"), ("valid", _valid, "long"), ("path", _short_path, "string"),
+    ):
+        spark.udf.register(f"tessera_json_{name}", F.udf(_strict(f), kind, useArrow=True))
+
+
+_MISSING = object()
+
+
+def _strict(f: Callable) -> Callable:
+    """NULL for any NULL argument."""
+    return lambda *xs: None if any(x is None for x in xs) else f(*xs)
+
+
+def _at(text: str, path: str):
+    node = parse(text)
+    for step in path_steps(path):
+        if isinstance(step, str):
+            node = next((v for k, v in node if k == step), _MISSING) if isinstance(node, Members) else _MISSING
+        else:
+            at = (len(node) - step[1] if isinstance(step, tuple) else step) if isinstance(node, list) and not isinstance(node, Members) else -1
+            node = node[at] if 0 <= at < len(node) else _MISSING
+        if node is _MISSING:
+            break
+    return node
+
+
+def _rendered(node) -> str | None:
+    return None if node is _MISSING else render(node)
+
+
+def _text_at(text: str, path: str) -> str | None:
+    """The node as a value: text as it is, true and false as 1 and 0, null as NULL, containers as JSON."""
+    node = _at(text, path)
+    if node is _MISSING or node is None:
+        return None
+    return str(int(node)) if isinstance(node, bool) else node if isinstance(node, str) else render(node)
+
+
+def _type_at(text: str, path: str) -> str | None:
+    node = _at(text, path)
+    if node is _MISSING:
+        return None
+    if isinstance(node, Number):
+        return "real" if any(c in node.token for c in ".eE") else "integer"
+    return "null" if node is None else str(node).lower() if isinstance(node, bool) else "text" if isinstance(node, str) else "object" if isinstance(node, Members) else "array"
+
+
+def _size_at(text: str, path: str) -> int | None:
+    node = _at(text, path)
+    return None if node is _MISSING else len(node) if isinstance(node, list) and not isinstance(node, Members) else 0
+
+
+def _edited(text: str, path: str, value: str, mode: str) -> str:
+    return edit(text, path, parse(value), mode != "replace", mode != "insert")
+
+
+def _valid(text: str, flags: int) -> int:
+    """Flag 1 asks for strict JSON, flag 2 allows JSON5."""
+    if not 1 <= flags <= 15:
+        raise ValueError("json_valid() takes flags from 1 to 15")
+    if flags & 2 and not error_position(text):
+        return 1
+    try:
+        parse(text, loose=False)
+    except JsonError:
+        return 0
+    return int(bool(flags & 1))
+
+
+def _short_path(name: str) -> str:
+    """The path that an operand of -> stands for: a whole path, an index, or a label."""
+    return name if name.startswith("$") else f"${name}" if name.startswith("[") else f'$."{name}"'

@@ -24,6 +24,11 @@ def run_sql_query(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, text)
 
 
+def register(name: str, query: Query, oracle: str) -> None:
+    _QUERIES[name] = query
+    _ORACLE[name] = oracle
+
+
 def frame(name: str, oracle: str | None):
     """Decorate a query built with the DataFrame API."""
 
@@ -37,7 +42,7 @@ def frame(name: str, oracle: str | None):
 
 
 def _load() -> None:
-    from tessera.plans import relational, scalars, stateful, windowed  # noqa: F401
+    from tessera.plans import dialect, relational, scalars, stateful, windowed  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

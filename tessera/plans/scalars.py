@@ -38,8 +38,6 @@ _select("misc_quote", "documents", "doc_id, coalesce('''' || replace(nullif(lang
 _select("misc_hex", "part", "p_partkey, hex(p_brand) AS h, hex(p_partkey::VARCHAR) AS n, decode(unhex(hex(p_brand))) AS u", lambda: {"p_partkey": "p_partkey", "h": V.hex_(c("p_brand")), "n": V.hex_(c("p_partkey")), "u": V.unhex(V.hex_(c("p_brand"))).cast("string")})
 _select("misc_char_unicode", "part", "p_partkey, chr(8364) || chr(65) AS c, unicode(p_name)::BIGINT AS u", lambda: {"p_partkey": "p_partkey", "c": V.char(8364, 65), "u": V.unicode_(c("p_name"))})
 _select("misc_zeroblob", "nation", "n_nationkey, octet_length(repeat('0', n_nationkey)::BLOB) AS n", lambda: {"n_nationkey": "n_nationkey", "n": F.octet_length(V.zeroblob(c("n_nationkey"))).cast("long")})
-_select("misc_likely", "nation", "n_nationkey, n_name AS l", lambda: {"n_nationkey": "n_nationkey", "l": c("n_name")})
-_select("misc_random", "nation", None, lambda: {"n_nationkey": "n_nationkey", "r": F.xxhash64(F.uuid()), "b": F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit("")))})
 _select("math_basic", "customer", "c_custkey, abs(c_acctbal) AS a, CAST(sign(c_acctbal) AS BIGINT) AS s, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, trunc(c_acctbal) AS t, round(c_acctbal, 1) AS r",
         lambda: {"c_custkey": "c_custkey", "a": F.abs("c_acctbal"), "s": M.sign(c("c_acctbal")), "c": M.ceil(c("c_acctbal")), "f": M.floor(c("c_acctbal")), "t": M.trunc(c("c_acctbal")), "r": M.round_(c("c_acctbal"), 1)})
 _select("math_min_max", "documents", "doc_id, CASE WHEN nullif(lang, 'en') IS NULL THEN NULL ELSE least(doc_id, n_chars) END AS lo, greatest(doc_id, n_chars) AS hi",
@@ -72,4 +70,3 @@ _select("json_build", "nation", """n_nationkey, '[' || n_nationkey || ',' || n_r
 _select("json_edit", "events", """event_id, '{"k":' || (props ->> '$.k') || ',"new":1}' AS s, '{}' AS r, '{"k":7}' AS u, '{"k":' || (props ->> '$.k') || ',"z":true}' AS p, '{"k":' || (props ->> '$.k') || '}' AS i""",
         lambda: {"event_id": "event_id", "s": J.json_set(c("props"), "$.new", 1), "r": J.json_remove(c("props"), "$.k"), "u": J.json_replace(c("props"), "$.k", 7), "p": J.json_patch(c("props"), '{"z":true,"q":null}'), "i": J.json_insert(c("props"), "$.k", 9)})
 _select("json_pretty", "events", """event_id, '{' || chr(10) || '    "k": ' || (props ->> '$.k') || chr(10) || '}' AS p""", lambda: {"event_id": "event_id", "p": J.json_pretty(c("props"))})
-_select("date_timediff", "orders", None, lambda: {"o_orderkey": "o_orderkey", "d": D.timediff(c("o_orderdate"), F.lit("1995-06-17 12:00:00").cast("timestamp"))})

@@ -41,10 +41,6 @@ def recursive_reach(spark, d):
     return recursive_union([nation.where("n_nationkey = 3").select(F.col("n_nationkey").alias("n"))], [lambda f: f.join(edges, f["n"] == edges["a"]).select(F.col("b").alias("n"))])
 
 
-@frame("view_inlined", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey > 4 GROUP BY n_regionkey")
-def view(spark, d):
-    _t(spark, d, "nation").where("n_nationkey > 4").createOrReplaceTempView("late_nations")
-    return spark.sql("SELECT n_regionkey, count(*) AS n FROM late_nations GROUP BY n_regionkey")
 
 
 @frame("json_each", "SELECT event_id, 'k' AS key, props ->> '$.k' AS value, 'integer' AS type FROM events")
@@ -54,11 +50,6 @@ def json_each(spark, d):
     return spark.sql("SELECT event_id, j.key, j.value, j.type FROM events, LATERAL json_each(props) j")
 
 
-@frame("json_tree", """SELECT event_id, '$' AS fullkey, 'object' AS type FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, '$.k', 'integer' FROM events WHERE event_id % 3 = 0""")
-def json_tree(spark, d):
-    _t(spark, d, "events").where("event_id % 3 = 0").createOrReplaceTempView("some_events")
-    J.register(spark)
-    return spark.sql("SELECT event_id, j.fullkey, j.type FROM some_events, LATERAL json_tree(props) j")
 
 
 def _store(spark, d, **constraints) -> Store:
@@ -100,9 +91,6 @@ def dml_update_from(spark, d):
     return s.table("stored_nation")
 
 
-@frame("dml_delete_returning", f"SELECT * FROM {_N} WHERE region = 1")
-def dml_delete(spark, d):
-    return _store(spark, d).delete("stored_nation", F.when(F.col("region") != 3, F.col("region") == 1))
 
 
 @frame("dml_upsert", f"SELECT id, name, CASE WHEN id = 2 THEN region + 30 ELSE region END AS region FROM {_N} UNION ALL SELECT 50::BIGINT, 'n', 12::BIGINT")
@@ -147,11 +135,3 @@ def table_info(spark, d):
     return _store(spark, d).table_info("stored_nation")
 
 
-@frame("ctas_and_sink", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
-def ctas(spark, d):
-    from tessera.sources.files import read_table, write_table
-
-    _ready(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/ctas"
-    write_table(_t(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")), path)
-    return read_table(spark, path)

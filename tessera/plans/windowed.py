@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import windows as W
@@ -16,7 +15,6 @@ def _orders(spark, d):
 _O = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderkey % 7 AS g FROM orders) o"
 sql("win_row_number", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS rn FROM orders")
 sql("win_rank", f"SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY g) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY g) AS BIGINT) AS dr FROM {_O}")
-sql("win_rank_no_order", "SELECT n_nationkey, 1 AS r FROM nation", "SELECT n_nationkey, CAST(rank() OVER (PARTITION BY n_regionkey) AS INTEGER) AS r FROM nation")
 sql("win_distribution", f"SELECT o_orderkey, percent_rank() OVER (PARTITION BY o_custkey ORDER BY g) AS p, cume_dist() OVER (PARTITION BY o_custkey ORDER BY g) AS c FROM {_O}")
 sql("win_ntile", "SELECT o_orderkey, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS t FROM orders")
 sql("win_lag_lead", "SELECT o_orderkey, lag(o_totalprice) OVER w AS a, lead(o_totalprice, 2, 0.0D) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
@@ -27,17 +25,10 @@ sql("win_whole_partition", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PAR
 sql("win_rows", "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m FROM orders")
 sql("win_rows_unbounded_following", "SELECT o_orderkey, min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM orders")
 sql("win_range_offset", f"SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY g RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n FROM {_O}")
-sql("win_named_chained", "SELECT o_orderkey, count(*) OVER w AS n, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 1 PRECEDING) AS m FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
-    "SELECT o_orderkey, count(*) OVER w AS n, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 1 PRECEDING) AS m FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 sql("win_string_agg", "SELECT n_nationkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) OVER (PARTITION BY n_regionkey) AS s FROM nation", "SELECT n_nationkey, string_agg(n_name, ',' ORDER BY n_name) OVER (PARTITION BY n_regionkey) AS s FROM nation")
 sql("win_over_aggregate", "SELECT o_custkey, count(*) AS n, CAST(rank() OVER (ORDER BY count(*) DESC) AS BIGINT) AS r FROM orders GROUP BY o_custkey")
-sql("win_partition_nocase", "SELECT o_orderkey, count(*) OVER (PARTITION BY lower(o_orderstatus)) AS n FROM orders")
 
 
-@frame("win_filter", "SELECT o_orderkey, count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders")
-def win_filter(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return _orders(spark, d).select("o_orderkey", W.filtered(F.count, F.col("o_orderstatus") == "F", F.lit(1), w).alias("n"))
 
 
 @frame("win_groups", f"SELECT o_orderkey, count(*) OVER w AS n, max(o_totalprice) OVER w AS m FROM {_O} WINDOW w AS (PARTITION BY o_custkey ORDER BY g GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
@@ -50,17 +41,3 @@ def win_groups(spark, d):
 def win_exclude_current(spark, d):
     out = W.excluding_sum(_orders(spark, d), ["o_custkey"], [F.col("g"), F.col("o_orderkey")], -2, 2, "o_totalprice", "CURRENT ROW", "s")
     return out.select("o_orderkey", F.round("s", 2).alias("s"))
-
-
-def _exclude(kind):
-    def run(spark, d):
-        rows = _orders(spark, d)
-        # the frame's order is (g, o_orderkey); peers are rows equal in both, so groups are told by g after a bounded frame over it
-        out = W.excluding(rows.where("o_custkey % 2 = 0"), ["o_custkey"], [F.col("g")], Window.unboundedPreceding, Window.unboundedFollowing, "o_orderkey", kind, lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x), "s")
-        return out.select("o_orderkey", "s")
-
-    return run
-
-
-for _name, _kind in (("win_exclude_group", "GROUP"), ("win_exclude_ties", "TIES"), ("win_exclude_no_others", "NO OTHERS"), ("win_exclude_current_all", "CURRENT ROW")):
-    frame(_name, f"SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {_kind}) AS BIGINT) AS s FROM {_O} WHERE o_custkey % 2 = 0")(_exclude(_kind))

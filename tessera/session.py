@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,17 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one only where both are one machine's."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def views(spark: SparkSession, sf_dir: str, text: str) -> None:
     """Register the tables that ``text`` names."""
     for name in TABLES:
