@@ -2,7 +2,7 @@
 
 Tokens are labelled from the documents' labels: a word or word beginning that occurs in toxic documents and, beyond
 chance, in no clean one marks its tokens.  The chain is trained on windows around such tokens and on clean windows.
-Its emissions come from hashed features of a token's bytes (the word, beginnings, endings), so unseen inflections of a
+Its emissions come from hashed features of a token's bytes (the word and its beginnings), so unseen inflections of a
 toxic stem still weigh in; forward-backward marginals over the whole text give offending spans and the score.
 """
 
@@ -20,9 +20,13 @@ from tessera.llm import kernel as K
 from tessera.llm.labelled import fold, sample
 from tessera.llm.workspace import Workspace, partitions
 
-#: labelled rows a label that teach, features of a token, bits of the weight table, tokens of a training window
-MOST_TOXIC, MOST_CLEAN, BITS, REACH, WINDOWS = 1500, 4500, 20, 6, 6000
-MARGINAL, ROUNDS = 0.5, 6
+#: bits of the weight table; tokens on each side of a training window's middle; tokens of a block of the messages
+BITS, REACH, STRIDE = 20, 6, 1024
+#: bounds of training, all of them on labelled rows: rows of each label, marking features, windows a round, rounds, and
+#: of clean texts one token in so many is the middle of a window of the first round
+MOST_TOXIC, MOST_CLEAN, MOST_MARKS, WINDOWS, ROUNDS, EVERY = 1500, 4500, 20_000, 6000, 6, 200
+#: tokens of an offending span have at least this marginal
+MARGINAL = 0.5
 _FEATURES = ("word", "b4", "b5", "b6")
 
 
@@ -53,39 +57,58 @@ class Chain:
         return _forward_backward(emission, first, self.move)[0]
 
 
-def _forward_backward(emission: np.ndarray, first: np.ndarray, move: np.ndarray):
-    """Marginals of label 1, and of label pairs (per token with a predecessor) where wanted for training.
+def _sweep(odds: np.ndarray, first: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Odds messages along every row: v[0] = odds[0], v[t] = odds[t] * (a01 + a11 * v[t-1]) / (a00 + a10 * v[t-1]).
 
-    Messages are odds r = m(1) / m(0); all rows step together, longest first, so a step is one vector operation.
+    Rows are cut into blocks that step together.  A step is a Moebius map, so a block's map is a 2 x 2 product; chaining
+    the products gives each block the message that enters it, and one long row costs no more steps than a block has.
     """
     size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    size, start = size[order], first[:-1][order]
+    n = -(-size // STRIDE)
+    row = np.repeat(np.arange(len(size)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = first[:-1][row] + piece * STRIDE
+    length = np.minimum(STRIDE, size[row] - piece * STRIDE)
+    enter = np.full(len(row), -1.0)  # no message: the row's first token
+    if len(row) and n.max() > 1:
+        long = np.flatnonzero((n[row] > 1) & (piece < n[row] - 1))  # full blocks with one behind them
+        top, low = np.tile([1.0, 0.0], (len(long), 1)).T.copy(), np.tile([0.0, 1.0], (len(long), 1)).T.copy()
+        for t in range(STRIDE):
+            o = odds[start[long] + t]
+            top, low = o * (a[0, 1] * low + a[1, 1] * top), a[0, 0] * low + a[1, 0] * top
+            if t == 0:
+                begin = piece[long] == 0
+                top[:, begin], low[:, begin] = np.stack([np.zeros(begin.sum()), o[begin]]), np.array([[0.0], [1.0]])
+            scale = np.abs(top).max(0) + np.abs(low).max(0)
+            top /= scale
+            low /= scale
+        value = 0.0
+        for j, i in enumerate(long.tolist()):  # one step a block
+            value = 1.0 if piece[i] == 0 else value
+            value = float((top[0, j] * value + top[1, j]) / (low[0, j] * value + low[1, j]))
+            enter[i + 1] = value
+    out = np.empty(len(odds))
+    order = np.argsort(-length, kind="stable")
+    start, length, last = start[order], length[order], enter[order]
+    active = len(length)
+    for t in range(int(length[0]) if active else 0):
+        while active and length[active - 1] <= t:
+            active -= 1
+        last = last[:active]
+        o = odds[start[:active] + t]
+        given = np.maximum(last, 0)
+        moved = o * (a[0, 1] + a[1, 1] * given) / (a[0, 0] + a[1, 0] * given)
+        last = np.where(last < 0, o, moved) if t == 0 else moved
+        out[start[:active] + t] = last
+    return out
+
+
+def _forward_backward(emission: np.ndarray, first: np.ndarray, move: np.ndarray):
+    """Marginals of label 1, and the messages (odds m(1) / m(0)) that training needs of them."""
     odds = np.exp(np.clip(emission, -30, 30))
     a = np.exp(move)
-    ahead, back = np.ones(len(emission)), np.ones(len(emission))
-    active = len(size)
-    last = None
-    for t in range(int(size[0]) if len(size) else 0):
-        while active and size[active - 1] <= t:
-            active -= 1
-        at = start[:active] + t
-        if t == 0:
-            last = odds[at]
-        else:
-            last = last[:active]
-            last = odds[at] * (a[0, 1] + a[1, 1] * last) / (a[0, 0] + a[1, 0] * last)
-        ahead[at] = last
-    active = len(size)
-    end = start + size - 1
-    last = None
-    for t in range(1, int(size[0]) if len(size) else 0):
-        while active and size[active - 1] <= t:
-            active -= 1
-        at = end[:active] - t
-        later = odds[at + 1] * (np.ones(active) if last is None else last[:active])
-        last = (a[1, 0] + a[1, 1] * later) / (a[0, 0] + a[0, 1] * later)
-        back[at] = last
+    ahead = _sweep(odds, first, a)
+    back = _sweep(odds[::-1], len(odds) - first[::-1], a.T)[::-1] / odds
     both = ahead * back
     return both / (1 + both), ahead, back, odds, a
 
@@ -143,8 +166,8 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(marks: np.ndarray, reach: int, model=None):
-    """Labelled windows: around tokens with a mined feature in toxic texts, and in clean texts around every 200th token
-    or, with a model, around the tokens that it takes for toxic."""
+    """Labelled windows: around tokens with a mined feature in toxic texts, and in clean texts around one token in
+    ``EVERY`` or, with a model, around the tokens that it takes for toxic."""
 
     def run(batches):
         for batch in batches:
@@ -159,7 +182,7 @@ def _windows(marks: np.ndarray, reach: int, model=None):
                 label = batch.column(1).to_numpy(zero_copy_only=False)[part.low + row]
                 hit &= label == 1
                 if model is None:
-                    near = np.concatenate([np.flatnonzero(hit), np.flatnonzero(label == 0)[::200]])
+                    near = np.concatenate([np.flatnonzero(hit), np.flatnonzero(label == 0)[::EVERY]])
                 else:
                     near = np.flatnonzero((label == 0) & (model.value.marginals(model.value.emissions(features), limit) > 0.1))
                 taken = np.zeros(len(features), bool)
@@ -176,17 +199,18 @@ def _windows(marks: np.ndarray, reach: int, model=None):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:
-    """Train on a bounded sample; without toxic examples every token is clean."""
-    sc = docs.sparkSession.sparkContext
-    taught = Workspace(docs.sparkSession, "toxic").save(sample(docs, labels, "toxic", {1: MOST_TOXIC, 0: MOST_CLEAN}), "taught").repartition(partitions(docs.sparkSession))
+    """Train on a bounded sample of the labelled rows (``MOST_TOXIC``, ``MOST_CLEAN``), with at most ``MOST_MARKS`` marking
+    features and ``WINDOWS`` windows a round; without toxic examples every token is clean."""
+    sc, ws = docs.sparkSession.sparkContext, Workspace(docs.sparkSession, "toxic")
+    taught = ws.save(sample(docs, labels, "toxic", {1: MOST_TOXIC, 0: MOST_CLEAN}), "taught").repartition(partitions(docs.sparkSession))
     n = dict(taught.groupBy("label").count().collect())
     yes, no = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-    counts = taught.mapInArrow(_presence, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).cache()
+    counts = taught.mapInArrow(_presence, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = ws.save(counts, "counts")
     # log-likelihood ratio against the base rate, beyond what chance gives to any of all features
     surprise = F.col("toxic") * F.log(F.col("toxic") / (F.col("toxic") + F.col("clean")) / F.lit(yes / (yes + no)))
     bar = float(np.log(max(counts.count(), 1)))
-    marked = counts.where("toxic >= 3 and toxic >= 30 * clean").where(surprise >= bar).orderBy(F.desc("toxic"), "feature").limit(20_000).select("feature").collect()
-    counts.unpersist()
+    marked = counts.where("toxic >= 3 and toxic >= 30 * clean").where(surprise >= bar).orderBy(F.desc("toxic"), "feature").limit(MOST_MARKS).select("feature").collect()
     marks = np.sort(np.array([r[0] for r in marked], np.int64).view(np.uint64))
     if not len(marks):
         return Chain(np.zeros(1 << BITS, np.float32), -12.0, np.zeros((2, 2)))
@@ -207,10 +231,10 @@ def _scorer(model, spans: bool):
         for batch in batches:
             for part in K.slices(batch.column(1), K.ALNUM):
                 p = model.value.marginals(model.value.emissions(token_features(part)), part.first_word)
+                clean = K.sums_by_row(part.row_of_word(), p * np.log1p(-np.minimum(p, 1 - 1e-9)), part.rows)
                 hot = np.flatnonzero(p >= MARGINAL)
                 row = part.row_of_word()[hot]
-                clean = K.sums_by_row(row, np.log1p(-np.minimum(p[hot], 1 - 1e-9)), part.rows)
-                columns = [batch.column(0).slice(part.low, part.rows), pa.array(1 - np.exp(clean))]
+                columns = [batch.column(0).slice(part.low, part.rows), pa.array(np.clip(1 - np.exp(clean), 0, 1))]
                 if spans:
                     columns.append(pa.array(_offsets(part, hot, row), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "spans"][: len(columns)])
@@ -238,8 +262,9 @@ def _offsets(part: K.Slice, hot: np.ndarray, row: np.ndarray) -> list[list[dict]
 def toxicity(docs: DataFrame, labels: DataFrame, spans: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted, spans.
 
-    The score is the probability that some token with a marginal of at least one half is toxic, such tokens taken as
-    independent; spans are runs of them in code points.  Null and empty texts score 0.  Rows are scored each, repeated
+    The score takes in the marginal p of every token: 1 - product of (1 - p) ** p, so a token counts by its own weight
+    and a long text's many small marginals don't add up to toxicity.  Spans are runs of tokens with a marginal of at
+    least ``MARGINAL``, in code points.  Null and empty texts score 0 and have none; texts of any length are read whole.  Rows are scored each, repeated
     ones alike; a null doc_id is not held out; other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
