@@ -21,8 +21,11 @@ from tessera.llm.kernel import release
 #: rows of a batch that are Python strings at a time
 ROWS = 512
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# Runs are entered at their first character only, and never given back, so long runs are read once: a match that begins
+# later in a run, or ends earlier, would need the same character behind the run.
+EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-]){EMAIL_HERE.pattern}")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -44,17 +47,21 @@ ATS = {"at", "arobase", "arroba", "chez", "klammeraffe"}
 
 _SIGNS = re.compile("[" + "".join(re.escape(c) for c in [*HOMOGLYPHS, *INVISIBLE]) + "]")
 _WORD = "|".join(sorted(map(re.escape, DIGIT), key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS)})[\s-]+)?(?:(?:(?:{_WORD})(?!\w)|[0-9])(?:[\s-]+(?:{'|'.join(DOTS)})[\s-]+|[\s,-]*)){{7,}}", re.I)
+_FIRST = "0-9" + "".join(sorted({w[0] + w[0].upper() for w in {*DIGIT, *PLUS}}))
+_SPELLED = re.compile(rf"(?=[{_FIRST}])(?<!\w)(?:(?:{'|'.join(PLUS)})[\s-]+)?(?:(?:(?:{_WORD})(?!\w)|[0-9])(?:[\s-]+(?:{'|'.join(DOTS)})[\s-]+|[\s,-]*)){{7,}}", re.I)
 _SPELLED_TOKEN = re.compile(rf"(?P<plus>{'|'.join(PLUS)})|(?P<dot>{'|'.join(DOTS)})|(?P<digit>{_WORD}|[0-9])", re.I)
-_AT = rf"(?:\s*[(\[{{<]\s*(?:{'|'.join(ATS)}|@)\s*[)\]}}>]\s*|\s+(?:{'|'.join(ATS)})\s+|\s*@\s*|_at_)"
-_DOT = rf"(?:\s*[(\[{{<]\s*(?:{'|'.join(DOTS)}|\.)\s*[)\]}}>]\s*|\s+(?:{'|'.join(DOTS)})\s+|_dot_|\.)"
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+_AT = rf"(?:(?<!\s)\s*[(\[{{<]\s*(?:{'|'.join(ATS)}|@)\s*[)\]}}>]\s*|(?<!\s)\s+(?:{'|'.join(ATS)})\s+|(?<!\s)\s*@\s*|_at_)"
+_DOT = rf"(?:(?<!\s)\s*[(\[{{<]\s*(?:{'|'.join(DOTS)}|\.)\s*[)\]}}>]\s*|(?<!\s)\s+(?:{'|'.join(DOTS)})\s+|_dot_|\.)"
+_TOD = rf"(?:(?<!\s)\s*[)\]}}>]\s*(?:{'|'.join(d[::-1] for d in DOTS)}|\.)\s*[(\[{{<]\s*|(?<!\s)\s+(?:{'|'.join(d[::-1] for d in DOTS)})\s+|_tod_|\.)"
+#: what may follow an at sign, and what may stand before it, read backwards
+_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+_LACOL = re.compile(rf"[A-Za-z0-9_%+-]+?(?:{_TOD}[A-Za-z0-9_%+-]+?)*(?![A-Za-z0-9._%+-])", re.I)
 _DOT_RE, _AT_RE = re.compile(_DOT, re.I), re.compile(_AT, re.I)
 _PART = rf"(?:[0-9]+|(?:{_WORD})(?:[\s-]+(?:{_WORD}))*)"
-_DOTTED = re.compile(rf"(?<!\w){_PART}(?:{_DOT}{_PART}){{3}}(?!\w)", re.I)
+_DOTTED = re.compile(rf"(?=[{_FIRST}])(?<!\w){_PART}(?:{_DOT}{_PART}){{3}}(?!\w)", re.I)
 _DOTTED_TOKEN = re.compile(rf"(?P<dot>{_DOT})|(?P<digit>{_WORD}|[0-9])", re.I)
 #: every form of _AT and _DOT but the plain signs and "at" between words, which alone rewrite nothing
-_FORMS = re.compile(rf"\s@|@\s|_(?:at|dot)_|[(\[{{<]\s*(?:{'|'.join(ATS | DOTS)}|@|\.)\s*[)\]}}>]|\s(?:{'|'.join(DOTS)})\s", re.I)
+_FORMS = re.compile(rf"(?=[\s@_(\[{{<])(?:\s@|@\s|_(?:at|dot)_|[(\[{{<]\s*(?:{'|'.join(ATS | DOTS)}|@|\.)\s*[)\]}}>]|\s(?:{'|'.join(DOTS)})\s)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -66,9 +73,16 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _emails(text: str) -> Iterator[re.Match]:
+    at = 0
+    while m := EMAIL_HERE.match(text, at) or EMAIL.search(text, at):  # the next may begin where the last one ends
+        yield m
+        at = m.end()
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """Base spans, by kind as listed, then start."""
-    found = [("email", *m.span()) for m in EMAIL.finditer(text)] if "@" in text else []
+    found = [("email", *m.span()) for m in _emails(text)] if "@" in text else []
     found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -129,15 +143,25 @@ def _dotted_digits(tape: Tape) -> None:
 
 
 def _addresses(tape: Tape) -> None:
-    edits = []
-    for m in _ADDRESS.finditer(tape.text):
-        at, end = m.span("at")
-        plain = tape.text[at:end].strip() not in ("@",) and tape.text[at:end].strip().isalpha()
-        dots = [*_DOT_RE.finditer(tape.text, m.start(), at), *_DOT_RE.finditer(tape.text, end, m.end())]
-        disguised = [d for d in dots if d[0] != "." and d.start() >= end]
-        if plain and not disguised:
+    """Every at sign or disguise of one, with the domain behind it and the local part before it, read backwards."""
+    text, edits, done = tape.text, [], 0
+    backwards = None
+    for m in _AT_RE.finditer(text):
+        at, end = m.span()
+        domain = _DOMAIN.match(text, end) if at >= done else None
+        if not domain:
+            continue
+        plain = text[at:end].strip().isalpha()
+        dots = [d for d in _DOT_RE.finditer(text, end, domain.end()) if d[0] != "."]
+        if plain and not dots:
             continue  # "at" between words is prose unless a dot is disguised too
-        edits += sorted([(d.start(), d.end(), ".") for d in dots if d[0] != "."] + ([(at, end, "@")] if tape.text[at:end] != "@" else []))
+        backwards = text[::-1] if backwards is None else backwards
+        local = _LACOL.match(backwards, len(text) - at, len(text) - done)
+        if not local:
+            continue
+        dots = [d for d in _DOT_RE.finditer(text, len(text) - local.end(), at) if d[0] != "."] + dots
+        edits += sorted([(d.start(), d.end(), ".") for d in dots] + ([(at, end, "@")] if text[at:end] != "@" else []))
+        done = domain.end()
     tape.rewrite(edits)
 
 
