@@ -1,7 +1,8 @@
 """Token ids in bulk, equal to the tokenizer's own, at the price of its distinct pieces.
 
 The vocabulary file lower-cases, drops white space and splits letters, single digits and other signs before any merge,
-so a text's ids are those of its pieces in order.  Pieces are found with numpy, each distinct one is encoded once a
+so a text's ids are those of its pieces in order.  Whether a file does is tried on load, on texts of all kinds; for
+others every text goes to the tokenizer whole.  Pieces are found with numpy, each distinct one is encoded once a
 worker, and ids are gathered.  Texts for which this split isn't plain (apostrophes, special-token strings, control
 characters, characters beyond Latin-1 letters) go to the tokenizer whole.
 """
@@ -15,6 +16,8 @@ from tokenizers import Tokenizer
 from tessera.llm import kernel as K
 
 END = 1
+#: texts on which the split is held against the tokenizer itself
+TRIAL = ("The Quick brown-fox, 12,345 TIMES!", "über naïve Ångström straße façade", " lead\ttab\n\nlines  and   gaps ", "(x) [y] {z} #tag @at $5.00 50% a_b a/b c:d;e", "supercalifragilistic 1990s 3rd x2y", "?!... -- ~ ^ | \\ < > = + * & \"q\"")
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -37,7 +40,17 @@ class PieceTokenizer:
         names = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(names.values()) + 1, bool)
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.kind = np.uint16 if len(self.closes) <= 1 << 16 else np.uint32
         self._clear()
+        self.split = True
+        self.split = all(self._alone(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in TRIAL)
+        self._clear()
+
+    def _alone(self, text: str) -> list[int] | None:
+        try:
+            return next(self.encode(pa.array([text])))[1].tolist()[:-1]
+        except (ValueError, IndexError):
+            return None
 
     @classmethod
     def of(cls, path: str) -> PieceTokenizer:
@@ -50,7 +63,7 @@ class PieceTokenizer:
         # sorted hashes of known pieces, and where each one's ids begin and how many they are
         self.hashes = np.zeros(0, np.uint64)
         self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each of the ascending hashes among the known ones, and whether it is there."""
@@ -84,7 +97,7 @@ class PieceTokenizer:
                 odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
                 odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
             total = np.concatenate([[0], np.cumsum(odd)])
-            plain = total[offsets[1:]] == total[offsets[:-1]]
+            plain = (total[offsets[1:]] == total[offsets[:-1]]) & self.split
             part = K.LOWER[data]
             starts, ends = K.runs(_KIND[part], offsets, single=2)
             piece = K.Slice(low, high, part, offsets, starts, ends, np.searchsorted(starts, offsets))
