@@ -1,11 +1,11 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences.
 
-Documents are cut into pieces of at most one sequence and range-sorted by length; pieces of one length are
-exchangeable, so what a sweep needs of them is a table length -> count, at most ``capacity`` rows whatever the corpus.
-Gaps are kept the same way, size -> sequences.  A sweep takes the longest lengths left, finds each one's successor
-among the gaps (the smallest that holds it), resolves lengths that meet at one gap class by rank - the longer first,
-then the lower rank within a length - updates the gaps, and repeats; what finds no gap opens sequences.  Every placed
-run of ranks is one row of a plan, and the pieces find their row by length and rank.
+Documents are cut into pieces of at most one sequence; pieces of one length are exchangeable, so what a sweep needs of
+them is a sorted table length -> count, at most ``capacity`` rows whatever the corpus.  Gaps are kept the same way, size
+-> sequences.  A round takes the longest length left, finds its successor among the gaps (the smallest that holds it),
+lets as many pieces have those gaps, by rank, as there are, updates the gaps, and repeats; what finds no gap opens
+sequences.  Rounds hold one length, so no two lengths conflict at a gap.  Every placed run of ranks is one row of a plan,
+and the pieces find their row by length and rank.
 
 Ranks are distributed: within (length, salt) by a window, plus the counts of the salts before, so no length - not even
 that of a third of all pieces - is one task's.
@@ -55,8 +55,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
                     gaps[size].append((first + used, many - used))
                 if not gaps[size]:
                     del gaps[size], sizes[at]
-            else:
-                size, first, used = capacity, opened, -(-left // (capacity // length))
+            else:  # full sequences of this length, one over the other, and a last one with the rest
+                size, fit = capacity, capacity // length
+                first, used = opened, max(1, left // fit)
                 opened += used
             rows.append((length, rank, used, first, 1, capacity - size))
             give_back(size - length, first, used)
@@ -93,6 +94,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     Each text's ids end with one separator, so null and empty texts make a piece of one id.  Rows are packed each,
     repeated ones and null ids included; other columns are ignored.  An empty table packs into nothing.
     """
+    if not 0 < capacity < 1 << 16:
+        raise ValueError("a capacity of 1 to 65535 ids")
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -102,14 +105,26 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     by_salt = ws.save(cut.groupBy("length", "salt").agg(F.count("*").alias("held")), "counts")
     before = by_salt.select("length", "salt", F.coalesce(F.sum("held").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     counts = dict(by_salt.groupBy("length").agg(F.sum("held")).collect())  # at most one row per length
-    rows = spark.createDataFrame([tuple(map(int, x)) for x in plan(counts, capacity)], "length long, first_rank long, ranks long, first_sequence long, step long, offset long")
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = cut.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
-    return (
-        ranked.join(F.broadcast(rows), "length")
-        .where("rank >= first_rank and rank < first_rank + ranks")
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + (F.col("rank") - F.col("first_rank")) * F.col("step")).alias("sequence_id"), "offset")
-    )
+    rows = np.array(plan(counts, capacity), np.int64).reshape(-1, 6)
+    rows = spark.sparkContext.broadcast(rows[np.lexsort((rows[:, 1], rows[:, 0]))])
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_places(rows), f"{schema}, sequence_id long, offset long")
+
+
+def _places(rows):
+    """Each piece's place: the plan's last row of its length that begins at or before its rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = rows.value
+        begins = table[:, 0] << 40 | table[:, 1]  # lengths below 2**23, ranks below 2**40
+        for batch in batches:
+            length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
+            own = table[np.searchsorted(begins, length << 40 | rank, side="right") - 1]
+            sequence = own[:, 3] + (rank - own[:, 1]) * own[:, 4]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(own[:, 5])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return run
 
 
 def query(spark, sf_dir):
