@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tessera.llm import kernel as K
 
 WINDOW = 13
-#: windows that one broadcast set may hold (about 200 bytes each)
-MAX_WINDOWS = 1_000_000
+#: windows that one broadcast set may hold (about 200 bytes each), and bytes of the items' texts; both are counted by
+#: Spark before any item reaches the driver
+MAX_WINDOWS, MAX_BYTES = 1_000_000, 64 << 20
 _MASK = (1 << 22) - 1
 
 
@@ -41,8 +42,6 @@ class WindowSet:
                     hashes[key] = int(h)
                     found[k][key].add(str(items[part.low + r][0]))
         self.size = len(hashes)
-        if self.size > MAX_WINDOWS:
-            raise ValueError(f"{self.size} benchmark windows; a broadcast set holds {MAX_WINDOWS}. Split the benchmark and run each part.")
         self.by_length = {}
         for k, keys in found.items():
             order = sorted(keys, key=hashes.__getitem__)
@@ -75,9 +74,12 @@ class WindowSet:
 
 
 def _window_set(benchmark: DataFrame, window: int):
-    rows = benchmark.select("item_id", "text").where("text is not null").limit(MAX_WINDOWS + 1).collect()
-    if len(rows) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} benchmark items; split the benchmark and run each part")
+    items = benchmark.select("item_id", "text").where("text is not null")
+    n_words = F.size(F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z])+"), F.lit(0)))
+    n, size = items.select(F.when(n_words > 0, F.greatest(n_words - (window - 1), F.lit(1))).otherwise(0).alias("n"), F.octet_length("text").alias("size")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if n > MAX_WINDOWS or size > MAX_BYTES:
+        raise ValueError(f"{n} benchmark windows in {size} bytes; a broadcast set holds {MAX_WINDOWS} and {MAX_BYTES}. Split the benchmark and run each part.")
+    rows = items.collect()
     return benchmark.sparkSession.sparkContext.broadcast(WindowSet([tuple(x) for x in rows], window))
 
 
