@@ -23,4 +23,9 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, most: dict[int, int]
     for label, n in most.items():
         own = clean.where(F.col("label") == label).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = own if picked is None else picked.union(own)
-    return docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", "label")
+    found = docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", "label")
+    out = None
+    for label, n in most.items():  # ids that several rows of docs share must not lift the bound
+        own = found.where(F.col("label") == label).orderBy(F.xxhash64("text"), "text").limit(n)
+        out = own if out is None else out.union(own)
+    return out

@@ -110,8 +110,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
         x[i] = row(r)[used]
     weights = (1 + np.log((1 + len(x)) / (1 + times))).astype(np.float32)
     weighted = x * weights[used]
-    _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(float)) if len(used) else (None, np.zeros((0, 1)))
-    right = vectors[:, ::-1][:, : min(RANK, len(rows))]
+    # right singular vectors from the Gram matrix of the rows, at most 2 * MOST of them whatever the columns
+    power, left = np.linalg.eigh((weighted @ weighted.T).astype(float))
+    strong = [i for i in range(len(rows) - 1, max(-1, len(rows) - 1 - RANK), -1) if power[i] > 1e-8 * max(power[-1], 1e-9)]
+    right = weighted.T @ (left[:, strong] / np.sqrt(power[strong])).astype(np.float32)
     basis = np.zeros((DIMENSIONS, max(1, right.shape[1])), np.float32)
     basis[used, : right.shape[1]] = right
     model = Model(weights, basis, np.zeros((0, basis.shape[1]), np.float32), y, float(y.mean()))
