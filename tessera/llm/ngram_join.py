@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import kernel as K
 from tessera.llm.components import components
@@ -474,10 +475,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, ws: Works
     return _labelled(docs, k, percent, ws, True)
 
 
-def _labelled(docs: DataFrame, k: int, percent: int, ws: Workspace | None, counted: bool) -> DataFrame:
-    """The join's result; n_links is 0 unless links are counted."""
-    ws = ws or Workspace(docs.sparkSession, "ngram")
-    join = _Join(docs, k, percent, ws)
+def _components(docs: DataFrame, k: int, percent: int, ws: Workspace | None, counted: bool) -> tuple[_Join, DataFrame]:
+    """The join, and (cls, component, rep, n_links) of its classes; n_links is 0 unless links are counted."""
+    join = _Join(docs, k, percent, ws or Workspace(docs.sparkSession, "ngram"))
     edges, labels = join.links()
     named = join.classes.select(F.col("cls").alias("node"), "rep")
     if labels is not None:
@@ -488,7 +488,12 @@ def _labelled(docs: DataFrame, k: int, percent: int, ws: Workspace | None, count
         named = named.join(join.degrees(edges, labels).withColumnRenamed("cls", "node"), "node", "left")
     else:
         named = named.withColumn("n_links", F.lit(0).cast("long"))
-    named = named.select(F.col("node").alias("cls"), F.coalesce("component", "node").alias("component"), F.nullif("rep", F.lit(NO_ID)).alias("rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return join, named.select(F.col("node").alias("cls"), F.coalesce("component", "node").alias("component"), F.nullif("rep", F.lit(NO_ID)).alias("rep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def _labelled(docs: DataFrame, k: int, percent: int, ws: Workspace | None, counted: bool) -> DataFrame:
+    """The join's result."""
+    join, named = _components(docs, k, percent, ws, counted)
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.join(lowest, "component").select("cls", "component_id", "n_links")
     return join.sets.join(by_class, "cls", "left").select(
@@ -496,17 +501,44 @@ def _labelled(docs: DataFrame, k: int, percent: int, ws: Workspace | None, count
     )
 
 
+def _keyed(k: int, id_at: int, text_at: int):
+    """Rows with their set's class (null without words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch.column(text_at), K.NON_SPACE):
+                size, keys = _class_keys(*K.shingle_sets(part, k), part.rows)
+                own = batch.slice(part.low, part.rows)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, mask=size == 0)], names=[*(f"c{i}" for i in range(own.num_columns)), "cls"])
+        K.release()
+
+    return run
+
+
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each near-duplicate group, all columns kept.
+    """One row of each near-duplicate group of ``docs``, all columns kept.
 
-    The document with the smallest doc_id stays; documents without words all stay.  Rows with a null doc_id stay only
-    where no row of their group has an id.  Rows that repeat both doc_id and text are one document.
+    A row with the smallest doc_id of its group stays; rows with a null doc_id stay only where no row of their group has
+    an id, and then one does.  Rows without words, null and empty texts included, all stay.  Of rows that repeat that id
+    inside the group one stays; rows that share an id but not a group are decided each in its own.
     """
-    found = _labelled(docs, k, percent, None, False)
-    ids = found.where("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    join, named = _components(docs, k, percent, None, False)
+    # of each group the class that holds the smallest id, by the class key where several do
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "cls")).alias("low")).select(F.col("low.cls").alias("_cls"), F.col("low.rep").alias("_id"))
+    kept = join.ws.save(kept, "kept")
+    ids = join.sets.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if ids[0] == ids[1]:  # ids tell rows apart
+        wordless = join.sets.where("n = 0").select(F.col("doc_id").alias("_id"))
+        return docs.join(kept.select("_id").union(wordless), docs["doc_id"] == F.col("_id"), "left_semi")
+    names, fields = docs.columns, docs.schema.fields
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at = names.index("doc_id")
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)), T.StructField("cls", T.LongType())])
+    keyed = own.mapInArrow(_keyed(k, at, names.index("text")), schema)
+    chosen = keyed.join(kept, (F.col("cls") == F.col("_cls")) & F.col(f"c{at}").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    rest = [f"c{i}" for i in range(len(names))]
+    one = chosen.groupBy("cls").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("row")).select("row.*")
+    return one.unionByName(keyed.where("cls is null").drop("cls")).toDF(*names)
 
 
 def query(spark, sf_dir):
