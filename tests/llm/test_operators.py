@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, packing, pii, quality_knn, quality_rules, token_scan, toxic_crf, url_filter, warc
 from tessera.llm.workspace import Workspace
@@ -44,6 +45,12 @@ def test_join_awkward(awkward, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
     kept = sorted((r.doc_id for r in ngram_join.keep_one_of_each(awkward).collect()))
     assert kept == [1, 4, 5, 6, 7, 8, 9]
+    text = " ".join(f"other{i}" for i in range(30))
+    rows = [(7, "two words"), (None, "two words"), (None, "other"), (None, "other"), (1, LONG), (3, LONG + " x"), (3, text), (3, text), (4, None), (4, None)]
+    docs = empty.sparkSession.createDataFrame([(i, t, None, None, None, "x", "y") for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id or 0, (r.text or "")[:6]) for r in ngram_join.keep_one_of_each(docs).collect()))
+    assert kept == sorted([(7, "two wo"), (0, "other"), (1, LONG[:6]), (3, text[:6]), (4, ""), (4, "")])
+    assert ngram_join.keep_one_of_each(empty).count() == 0
 
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
@@ -107,6 +114,53 @@ def test_quality_rules(spark, awkward, empty, tables):
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
+def test_determinants(spark):
+    """The estimates against random-start concentration in numpy: no larger a determinant, and the same verdicts."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = range(len(quality_rules.DIMS))
+    rows = quality_rules._vectors(quality_rules.counts(docs)).where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
+    model = {r.g: r for r in quality_rules.estimates(rows.selectExpr("*", "'own' AS own", "lang AS wide", "false AS base_failed"), Workspace(spark, "mcd")).collect()}
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, least_rows=10**9).collect()}
+    held = rows.collect()
+    rng, same = np.random.default_rng(5), 0
+    for lang in sorted({r.lang for r in held}):
+        own = [r for r in held if r.lang == lang]
+        x = np.array([[r[d] for d in quality_rules.DIMS] for r in own])
+        h = int(np.ceil(quality_rules.SUBSET * len(x)))
+
+        def fit(some):
+            cov = np.cov(some.T, bias=True) * quality_rules.CONSISTENCY + np.eye(len(p)) * quality_rules.FLOOR**2
+            gap = x - some.mean(0)
+            return np.linalg.slogdet(cov)[1], (gap @ np.linalg.inv(cov) * gap).sum(1)
+
+        best = (np.inf, None)
+        for _ in range(40):
+            some = x[rng.choice(len(x), len(p) + 1, replace=False)]
+            for _ in range(30):
+                det, d = fit(some)
+                some = x[np.argsort(d, kind="stable")[:h]]
+            best = min(best, fit(some), key=lambda b: b[0])
+        assert model[lang].log_det <= best[0] + 0.15 and model[lang].n == len(x)
+        same += sum(kept[r.doc_id] == (v <= quality_rules.CUTOFF) for r, v in zip(own, best[1], strict=True))
+    assert same >= 0.98 * len(held)
+
+
+def test_quality_groups(spark, empty):
+    """Null and empty languages and sources are groups apart; shapes beyond a broadcast go the salted way."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60 + i % 7)), (None, "", "en")[i % 3], (None, "")[i % 2], None, "x", "y") for i in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("g", F.lit("clash")).withColumn("m0", F.lit(1))
+    got = {r.doc_id: (r.kept, r.distance) for r in quality_rules.quality_rules(docs, least_rows=5).collect()}
+    assert len(got) == 90 and all(k for k, _ in got.values())
+    few, quality_rules.few = quality_rules.few, lambda df: df
+    try:
+        again = {r.doc_id: (r.kept, r.distance) for r in quality_rules.quality_rules(docs, least_rows=5).collect()}
+        assert all(got[i][0] == k and abs(got[i][1] - d) < 1e-9 for i, (k, d) in again.items()) and len(again) == 90
+    finally:
+        quality_rules.few = few
+
+
 def test_decontamination(spark, awkward, empty, tables):
     benchmark = tables["benchmark"]
     assert decontaminate.contamination(empty, benchmark).count() == 0
@@ -134,17 +188,48 @@ def test_decontamination(spark, awkward, empty, tables):
     assert left.where("contaminated").isEmpty()
 
 
-def test_warc(spark, tables):
-    rows = [(3, "u://a", "xx"), (1, None, "xx"), (2, "u", ""), (7, "u\r\nX: y", None), (9, "q", "y" * 50000 + "\r\n\r\nWARC/1.1\r\n"), (9, "q", "y" * 50000 + "\r\n\r\nWARC/1.1\r\n")]
-    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(docs, Workspace(spark, "t")).collect()}
-    assert got == {1: (2, "response", None), 3: (2, "revisit", 1), 2: (0, "response", None), 7: (0, "revisit", 2), 9: (50014, "response", None)}
-    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(tables["pages"], Workspace(spark, "t")).collect()}
-    for p in tables["pages"].collect():
-        b = p.html.encode()
-        assert got[p.page_id] == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
+def test_warc(spark, tables, empty):
+    long = "y" * 50000 + "\r\n\r\nWARC/1.1\r\n"
+    rows = [(3, "u://a", "xx"), (1, None, "xx"), (2, "u", ""), (7, "u\r\nX: y", None), (9, "q", long), (9, "q", long), (None, "n", long), (None, None, "only"), (None, None, "only"), (4, "é", "é" * 9000)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("k")).withColumn("row", F.lit(0)).withColumn("first", F.lit(1))
+    ws = Workspace(spark, "t")
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(docs, ws).collect())
+    assert got == collections.Counter([(1, 2, "response", None), (3, 2, "revisit", 1), (2, 0, "response", None), (7, 0, "revisit", 2), (9, 50014, "response", None), (9, 50014, "revisit", 9), (None, 50014, "revisit", 9),
+                                       (None, 4, "response", None), (None, 4, "revisit", None), (4, 18000, "response", None)])
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(none, ws).count() == 0 and warc.read(ws, warc.write(none, ws, "none")).count() == 0
+    pages = tables["pages"].union(tables["pages"].selectExpr("page_id + 1000", "url", "html").where("page_id % 7 = 1"))
+    listed = [(p.page_id, base64.b32encode(hashlib.sha1(p.html.encode()).digest()).decode(), len(p.html.encode())) for p in pages.collect()]
+    lowest = {}
+    for i, d, _ in listed:
+        lowest[d] = min(i, lowest.get(d, i))
+    want = {i: (n, d, "response" if lowest[d] == i else "revisit", None if lowest[d] == i else lowest[d]) for i, d, n in listed}
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages, ws).collect()} == want
+    back = {r.page_id: r.payload for r in warc.read(ws, warc.write(tables["pages"], ws, "full")).collect()}
+    assert back == {p.page_id: p.html.encode() for p in tables["pages"].collect()}
+
+
+def test_warc_files(spark, tmp_path):
+    """Plain and gzip archives as other writers make them, and archives that are cut."""
+    import gzip
+
+    rows = [r for i in range(3) for r in warc.records(i, "u", b"z" * (20000 * i), i, None)]
+    info = warc._record(b"warcinfo", "info", [], b"software: x")
+    (tmp_path / "a.warc").write_bytes(info + b"".join(rows))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(info + b"".join(rows[:1])) + b"".join(map(gzip.compress, rows[1:])))
+    got = warc.read(Workspace(spark, "t"), f"file://{tmp_path}/a.warc").collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(0, 0), (1, 20000), (2, 40000)]
+    heads = [h["warc-record-id"] for h, _ in warc.parse((tmp_path / "b.warc.gz").read_bytes())]
+    assert len(heads) == len(rows) + 1
+    for bad in (b"".join(rows)[:-5], gzip.compress(rows[0])[:-9], b"x" + rows[0]):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
     with pytest.raises(ValueError):
         warc.unchunk(b"5\r\nab\r\n0\r\n\r\n")
+    lost = [r for r in rows if b"WARC-Segment-Number: 2\r\n" not in r]
+    (tmp_path / "lost.warc").write_bytes(b"".join(lost))
+    with pytest.raises(Exception, match="segments are missing"):
+        warc.read(Workspace(spark, "t"), f"file://{tmp_path}/lost.warc").collect()
 
 
 def test_pii(awkward, empty):
@@ -195,9 +280,13 @@ def test_tokens_and_packing(spark, awkward, empty, tables):
     sizes = sorted(len(own.encode(r.text or "", add_special_tokens=False).ids) for r in tables["documents"].collect())
     token_scan.write_flat(tables["documents"], path, Workspace(spark, "t").path("flat"))
     assert sorted(r.n_tokens for r in token_scan.token_counts(tables["documents"], path).collect()) == sizes
+    for docs in (awkward, tables["documents"]):
+        want = collections.Counter((r.doc_id, len(own.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+        assert collections.Counter((r.doc_id, r.n_tokens) for r in token_scan.token_counts(docs, path).collect()) == want
+    assert token_scan.token_counts(empty, path).count() == 0
     ws = Workspace(spark, "small")
     token_scan.write_flat(awkward, path, ws.path("flat"))
-    assert sorted(r.n_tokens for r in token_scan.scan(spark, ws.path("flat"), block=64).collect()) == sorted(len(own.encode(r.text or "", add_special_tokens=False).ids) for r in awkward.collect())
+    assert sorted(r.n_tokens for r in token_scan.scan(ws, ws.path("flat"), block=64, width=256).collect()) == sorted(len(own.encode(r.text or "", add_special_tokens=False).ids) for r in awkward.collect())
 
 
 @pytest.mark.parametrize(("operator", "target", "least"), [(quality_knn.classify, "quality", 0.95), (toxic_crf.toxicity, "toxic", 0.8)])
@@ -206,16 +295,104 @@ def test_learned(spark, awkward, empty, tables, operator, target, least):
     held = operator(big["documents"], big["labels"]).where("held_out").join(big["labels"], "doc_id").select("predicted", target).collect()
     assert sum(r.predicted == r[target] for r in held) / len(held) >= least
     assert operator(empty, tables["labels"]).count() == 0
+    doubled = big["documents"].limit(200).union(big["documents"].limit(200))
+    assert operator(doubled, big["labels"]).count() == 400
     assert all(0 <= r.score <= 1 for r in operator(awkward, tables["labels"]).collect())
     assert operator(awkward, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 11
 
 
-def test_url_filter(spark):
-    urls = ["https://www.lucky-casino.example.net/en/3", "https://Blog.garden-notes.Example.net/en/3?x", "http://a.example.org/es/1", "http://a.example.org/x", "http://b.com/de/", "nothing", None, "http://c.org"]
-    got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+def test_chain_marginals():
+    """Forward-backward against all labellings of short chains, and block-wise against token by token on a long one."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    move = rng.normal(size=(2, 2))
+    first = np.array([0, 1, 1, 9, 14])
+    emission = rng.normal(scale=2, size=14)
+    p = toxic_crf._forward_backward(emission, first, move)[0]
+    for low, high in itertools.pairwise(first):
+        weight = {y: np.exp(sum(e * v for e, v in zip(emission[low:high], y, strict=True)) + sum(move[a, b] for a, b in itertools.pairwise(y))) for y in itertools.product((0, 1), repeat=high - low)}
+        for t in range(high - low):
+            assert abs(p[low + t] - sum(w for y, w in weight.items() if y[t]) / sum(weight.values())) < 1e-9
+    emission, first = rng.normal(scale=3, size=7000), np.array([0, 5000, 5003, 7000])
+    whole = toxic_crf._forward_backward(emission, first, move)[0]
+    stride, toxic_crf.STRIDE = toxic_crf.STRIDE, 1 << 30
+    try:
+        assert np.abs(whole - toxic_crf._forward_backward(emission, first, move)[0]).max() < 1e-9
+    finally:
+        toxic_crf.STRIDE = stride
+
+
+def test_long_texts(spark, tables):
+    """A text of a million words costs seconds, not minutes."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.expr("repeat('some plain words ', 350000)").alias("text"))
+    assert 0 <= toxic_crf.toxicity(docs, tables["labels"]).first().score < 0.7
+    assert pii.find("a" * 60_000 + "@" + "1." * 30_000) is not None
+
+
+def test_nearest_votes(spark, tables):
+    """Blocked votes against every cosine, one document at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    model = quality_knn.fit(tables["documents"], tables["labels"])
+    texts = [r.text for r in tables["documents"].collect()][:60] + ["", None]
+    for low, x in quality_knn.features(pa.array(texts)):
+        got = model.score(x)
+        for row, score in zip(x, got, strict=True):
+            if not row.any():
+                assert score == model.prior
+                continue
+            v = (row * model.weights) @ model.basis
+            cosine = model.vectors @ (v / max(np.linalg.norm(v), 1e-9))
+            near = np.argsort(-cosine, kind="stable")[: quality_knn.NEIGHBOURS]
+            vote = np.maximum(cosine[near], 1e-3) ** quality_knn.POWER
+            assert abs(score - (vote * model.labels[near]).sum() / vote.sum()) < 1e-3
+
+
+def test_url_filter(spark, tables):
+    urls = ["https://www.lucky-casino.example.net/en/3", "https://Blog.garden-notes.Example.net/en/3?x", "http://a.example.org/es/1", "http://a.example.org/x", "http://b.com/de/", "nothing", None, "http://c.org", "HTTP://É.Org?a/b", "://", "x://h#/p", "http://" + "a" * 100_000 + ".net/" + "b" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("label", F.lit(1))
+    got = {r.page_id: r for r in url_filter.url_filter(docs).collect()}
     assert [got[i].verdict for i in range(5)] == ["block", "allow", "block", "allow", "block"]
     assert (got[1].host, got[1].path, got[2].rule, got[3].rule) == ("blog.garden-notes.example.net", "/en/3", "example.org/es/", "org/")
-    assert (got[5].host, got[6].path, got[7].rule) == ("", "", None)
+    assert (got[5].host, got[6].path, got[7].rule) == ("", "", None) and (got[8].host, got[8].path, got[9].host, got[10].host, got[10].path) == ("É.org".lower().replace("é", "É"), "", "", "h", "")
+    assert len(got[11].host) == 100_004 and len(got) == len(urls)
+    assert url_filter.url_filter(docs.limit(0)).count() == 0
+    assert {r.score for r in url_filter.url_filter(docs, labelled=docs.select("url", "label").limit(0)).collect()} == {0.5}
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    got = {r.page_id: r for r in url_filter.url_filter(tables["pages"]).collect()}
+    for p in tables["pages"].collect():
+        host, path = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", p.url).groups()
+        fit = next((r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])), None)
+        r = got[p.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, fit and fit[0] + fit[1]) and (fit is None or r.verdict == fit[2])
+
+
+def test_url_regression(spark):
+    """The fold over two arrays equals the same steps in numpy, and tells held-out urls of the table apart."""
+    import numpy as np
+
+    table = url_filter.training_table(spark, False)
+    host, path = url_filter._parts("url")
+    rows = table.select("label", host.alias("h"), path.alias("p")).select("label", url_filter._slots("h", "p").alias("s")).collect()
+    x = np.zeros((len(rows), url_filter.SLOTS + 1))
+    for i, r in enumerate(rows):
+        np.add.at(x[i], r.s, len(r.s) ** -0.5)
+    y, w, speed = np.array([r.label for r in rows]), np.zeros(x.shape[1]), np.full(x.shape[1], 1e-12)
+    for _ in range(5):
+        d = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + url_filter.SHRINK * w
+        speed += d * d
+        w = w - url_filter.RATE * d / np.sqrt(speed)
+    assert np.abs(np.array(url_filter.train(table, 5)) - w).max() < 1e-6
+    held = url_filter.training_table(spark, True).select("url", "label", F.monotonically_increasing_id().alias("page_id"))
+    right = url_filter.url_filter(held, (), table).join(held, "page_id").select(((F.col("verdict") == "block") == (F.col("label") == 1)).alias("ok")).collect()
+    print("held-out urls right:", sum(r.ok for r in right), "of", len(right))
+    assert sum(r.ok for r in right) / len(right) > 0.9
 
 
 def test_pipeline(spark, tables):
