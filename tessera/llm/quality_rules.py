@@ -1,21 +1,29 @@
 """Quality rules: base counts, and robust multivariate outliers per language and source.
 
 Everything is DataFrame functions.  Each text becomes a row of counts; transformed shares of them are the vectors.  For
-every (language, source) the minimum-covariance-determinant estimate comes from deterministic starts (medians and
-median deviations) followed by concentration steps: the three quarters of the rows nearest by Mahalanobis distance give
-the next mean and covariance.  A vector too far from its group's estimate is rejected.  Groups of few rows use their
-language's estimate.  All group statistics have partial aggregates, so a source with a third of all rows is no task's.
+every (language, source) the minimum-covariance-determinant estimate is sought from three deterministic starts: medians
+with median deviations, the covariance of squashed scores, and that of spatial signs.  Concentration steps follow: the
+three quarters of the rows nearest by Mahalanobis distance give the next mean and covariance, until no determinant moves;
+of the starts the estimate with the smallest determinant is taken.  A vector too far from it is rejected.  Groups of few
+rows use their language's estimate.
+
+Medians and nearest rows come from histograms, so no order of merging changes a verdict.  A step is one pass: moments are
+added up by group, start and distance bucket, a partial aggregate whose size depends on groups alone, so a source with a
+third of all rows is no task's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.workspace import Workspace, table
+from tessera.llm.workspace import Workspace, few, lookup, table
 
 DIMS = ("x0", "x1", "x2", "x3", "x4")
-SUBSET, STEPS, LEAST_ROWS = 0.75, 4, 50
+#: share of rows nearest to an estimate, most concentration steps, and the change of a log determinant that ends them
+SUBSET, STEPS, STILL = 0.75, 10, 1e-6
+#: buckets of a unit of a vector, for medians, and of a doubling of the distance
+FINE, OCTAVE = 512, 16
 #: a share's standard deviation that is never told apart from noise, on the logarithmic scale of the vectors
 FLOOR = 0.4
 # fixed values: consistency factor of the covariance of the nearest 0.75, and the chi-square quantile 1 - 1e-5, both for 5 dimensions
@@ -27,7 +35,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every text; null texts have no words."""
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c) for c in ("lang", "source")),
+        *((F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     worded = base.select(
@@ -65,66 +73,106 @@ def _vectors(stats: DataFrame) -> DataFrame:
     return stats.select("*", *(x.alias(d) for x, d in zip(xs, DIMS, strict=True)))
 
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """Group means and W, the inverse of the covariance's Cholesky factor, one named column an entry."""
-    p = len(DIMS)
-    out = moments
-    for i in range(p):
-        for j in range(i + 1):
-            rest: Column = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * CONSISTENCY + (FLOOR**2 if i == j else 0.0)
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR**2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    for j in range(p):
-        for i in range(j, p):
-            if i == j:
-                value = 1 / F.col(f"l{i}{i}")
-            else:
-                value = -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}")
-            out = out.withColumn(f"w{i}{j}", value)
-    return out.select("lang", "src", *(f"m{i}" for i in range(p)), *(f"w{i}{j}" for i in range(p) for j in range(i + 1)))
-
-
-def _distance() -> Column:
-    total = F.lit(0.0)
-    for i in range(len(DIMS)):
-        y = sum((F.col(f"w{i}{j}") * (F.col(DIMS[j]) - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0))
-        total = total + y * y
-    return total
+_P = range(len(DIMS))
+_PAIRS = [(i, j) for i in _P for j in range(i + 1)]
 
 
-def estimates(vectors: DataFrame, ws: Workspace) -> DataFrame:
-    """Per (lang, src): means and W; src '*' stands for all sources of a language."""
-    p = range(len(DIMS))
-    rows = vectors.where("not base_failed").select("lang", F.explode(F.array(F.concat(F.lit("="), "source"), F.lit("*"))).alias("src"), *DIMS)
-    middle = rows.groupBy("lang", "src").agg(*(F.percentile_approx(d, 0.5, 2000).alias(f"m{i}") for i, d in enumerate(DIMS)))
-    spread = rows.join(middle, ["lang", "src"]).groupBy("lang", "src").agg(*(F.percentile_approx(F.abs(F.col(d) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, d in enumerate(DIMS)), *(F.first(f"m{i}").alias(f"m{i}") for i in p))
-    start = spread.select("lang", "src", *(f"m{i}" for i in p), *((F.pow(1.4826 * F.col(f"s{i}"), F.lit(2)) / CONSISTENCY if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
-    model = ws.save(_factor(start), "mcd_0")
-    for turn in range(1, STEPS + 1):
-        far = rows.join(model, ["lang", "src"]).select("lang", "src", *DIMS, _distance().alias("d"))
-        bound = ws.save(far.groupBy("lang", "src").agg(F.percentile_approx("d", SUBSET, 2000).alias("bound")), f"bound_{turn}")
-        inner = far.join(bound, ["lang", "src"]).where("d <= bound")
-        moments = inner.groupBy("lang", "src").agg(*(F.avg(d).alias(f"m{i}") for i, d in enumerate(DIMS)), *(F.covar_pop(DIMS[i], DIMS[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
-        model = ws.save(_factor(moments), f"mcd_{turn}")
-    return model
+def _factor(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """Means, the log determinant, and W, the inverse of the covariance's Cholesky factor, one named column an entry."""
+    named = {}  # each expression refers to those before it
+    for i, j in _PAIRS:
+        rest = f"coalesce(c{i}{j}, 0D) * {CONSISTENCY}D" + (f" + {FLOOR**2}D" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        named[f"l{i}{j}"] = f"sqrt(greatest({rest}, {FLOOR**2 / 4}D))" if i == j else f"({rest}) / l{j}{j}"
+    for j in _P:
+        named[f"w{j}{j}"] = f"1 / l{j}{j}"
+        for i in range(j + 1, len(DIMS)):
+            named[f"w{i}{j}"] = f"-({' + '.join(f'l{i}{k} * w{k}{j}' for k in range(j, i))}) / l{i}{i}"
+    named["log_det"] = " + ".join(f"2 * ln(l{i}{i})" for i in _P)
+    out = moments.selectExpr("*", *(f"{e} AS {n}" for n, e in named.items()))
+    return out.select(*keys, "log_det", *(f"m{i}" for i in _P), *(f"w{i}{j}" for i, j in _PAIRS))
+
+
+def _distance(at: str = "") -> Column:
+    y = [" + ".join(f"{at}w{i}{j} * ({DIMS[j]} - {at}m{j})" for j in range(i + 1)) for i in _P]
+    return F.expr(" + ".join(f"power({x}, 2)" for x in y))
+
 
+def _attach(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with what ``found`` (unique by g) says of their group: broadcast where that is small, else hot groups apart."""
+    small = few(found)
+    return rows.join(small, "g", "left") if small is not found else lookup(rows, found, "g")
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+
+def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """Per g: v0, v1, ... the medians of the values, from histograms of ``FINE`` buckets a unit."""
+    n = range(len(values))
+    each = rows.select("g", F.posexplode(F.array(*(F.floor(v * FINE).cast("long") for v in values))).alias("dim", "bucket"))
+    held = each.groupBy("g", "dim", "bucket").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("g", "dim")
+    at = held.withColumn("below", F.sum("n").over(order.orderBy("bucket"))).withColumn("all", F.sum("n").over(order)).where("2 * below >= all")
+    return at.groupBy("g").agg(*(((F.min(F.when(F.col("dim") == i, F.col("bucket"))) + 0.5) / FINE).alias(f"v{i}") for i in n))
+
+
+def estimates(vectors: DataFrame, ws: Workspace) -> DataFrame:
+    """Per g: n, log_det, means and W.  g is (language, source), or a language with all its sources."""
+    rows = ws.save(vectors.where("not base_failed").select(F.explode(F.array("own", "wide")).alias("g"), *DIMS), "rows")
+    middle = ws.save(_medians(rows, [F.col(d) for d in DIMS]), "middle")
+    centred = _attach(rows, middle).selectExpr("g", *(f"v{i} AS m{i}" for i in _P), *(f"{d} - v{i} AS {d}" for i, d in enumerate(DIMS)))
+    spread = ws.save(_medians(centred, [F.abs(F.col(d)) for d in DIMS]).selectExpr("g", *(f"greatest(1.4826D * v{i}, {FLOOR}D) AS s{i}" for i in _P)), "spread")
+    norm = f"sqrt({' + '.join(f'power({d} / s{i}, 2)' for i, d in enumerate(DIMS))})"
+    scored = _attach(centred, spread).selectExpr("*", f"{norm} AS norm", *(f"tanh({d} / s{i}) AS a{i}" for i, d in enumerate(DIMS)))
+    scored = scored.selectExpr("*", *(f"if(norm > 0, {d} / s{i} / norm * {len(DIMS) ** 0.5}D, 0D) AS b{i}" for i, d in enumerate(DIMS)))
+    moments = scored.groupBy("g").agg(*map(F.expr, ["count(*) AS n", *(f"first({x}{i}) AS {x}{i}" for x in "ms" for i in _P), *(f"avg({x}{i} * {x}{j}) AS {x}{i}{j}" for x in "ab" for i, j in _PAIRS)]))
+    shapes = [lambda i, j: f"{float(i == j)}D", lambda i, j: f"a{i}{j}", lambda i, j: f"b{i}{j}"]
+    forms = [f"struct({start} AS start, {', '.join(f'{shape(i, j)} * s{i} * s{j} / {CONSISTENCY}D AS c{i}{j}' for i, j in _PAIRS)})" for start, shape in enumerate(shapes)]
+    starts = moments.selectExpr("g", "n", *(f"m{i}" for i in _P), f"inline(array({', '.join(forms)}))")
+    keys = ["g", "start", "n"]
+    model = ws.save(_factor(starts, keys), "mcd_0")
+    for turn in range(1, STEPS + 1):
+        listed = model.groupBy("g").agg(F.collect_list(F.struct("start", *(c for c in model.columns if c[0] in "mw"))).alias("models"))
+        near = _attach(rows, listed).select("g", *DIMS, F.explode("models").alias("m"))
+        bucket = F.floor(OCTAVE * F.log2(_distance("m.") + 2.0**-20)).cast("int").alias("bucket")
+        sums = [f"t{i}" for i in _P] + [f"t{i}{j}" for i, j in _PAIRS]
+        adds = ["count(*) AS held", *(f"sum({d}) AS t{i}" for i, d in enumerate(DIMS)), *(f"sum({DIMS[i]} * {DIMS[j]}) AS t{i}{j}" for i, j in _PAIRS)]
+        rings = near.select("g", "m.start", bucket, *DIMS).groupBy("g", "start", "bucket").agg(*map(F.expr, adds))
+        inner = rings.selectExpr("*", "sum(held) OVER (PARTITION BY g, start) AS n", "sum(held) OVER (PARTITION BY g, start ORDER BY bucket) - held AS before").where(f"before < {SUBSET} * n")
+        total = inner.groupBy(*keys).agg(*map(F.expr, [f"sum({x}) AS {x}" for x in ("held", *sums)]))
+        moved = total.selectExpr(*keys, *(f"t{i} / held AS m{i}" for i in _P), *(f"t{i}{j} / held - t{i} / held * t{j} / held AS c{i}{j}" for i, j in _PAIRS))
+        after = ws.save(_factor(moved, keys), f"mcd_{turn}")
+        change = model.select("g", "start", F.col("log_det").alias("was")).join(after, ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
+        ws.drop(f"mcd_{turn - 1}")
+        model = after
+        if change is None or turn > 1 and change < STILL:
+            break
+    names = [c for c in model.columns if c not in ("g", "start")]
+    best = model.groupBy("g").agg(F.min(F.struct("log_det", "start", *(c for c in names if c != "log_det"))).alias("low"))
+    return best.select("g", *(F.col(f"low.{c}").alias(c) for c in names))
+
+
+def quality_rules(docs: DataFrame, least_rows: int = 50) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows.  kept: not base_failed and
-    the Mahalanobis distance (squared in ``distance``) within the cut.  Null and empty texts fail the base; null
+    the Mahalanobis distance (squared in ``distance``) within the cut.  A (language, source) of fewer than ``least_rows``
+    rows that pass the base is judged by its language's estimate.  Null and empty texts fail the base; null
     languages and sources are groups of their own; missing lang or source columns make one group.  Ties and constant
-    vectors are held by the covariance's floor; repeated rows count each; other columns are ignored.
+    vectors are held by the covariance's floor; repeated rows count each; an empty table has no rows; other columns are
+    ignored.
     """
     ws = Workspace(docs.sparkSession, "quality")
     stats = counts(docs).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    vectors = ws.save(_vectors(stats), "vectors")
-    model = estimates(vectors, ws)
-    sizes = vectors.where("not base_failed").groupBy("lang", "source").count()
-    keyed = vectors.join(sizes, ["lang", "source"], "left").withColumn("src", F.when(F.coalesce("count", F.lit(0)) >= LEAST_ROWS, F.concat(F.lit("="), "source")).otherwise(F.lit("*")))
-    judged = keyed.join(model, ["lang", "src"], "left").withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
+    wide = F.concat(F.length(named("lang")).cast("string"), named("lang"))
+    vectors = _vectors(stats).withColumn("wide", wide).withColumn("own", F.concat(wide, named("source"))).drop("lang", "source")
+    vectors = ws.save(vectors, "vectors")
+    model = ws.save(estimates(vectors, ws), "mcd")
+    entries = [c for c in model.columns if c[0] in "mw"]
+    widely = vectors.where("not base_failed").select("own", "wide").distinct()
+    coarse = model.select(F.col("g").alias("wide"), F.struct(*entries).alias("coarse"))
+    judge = model.select(F.col("g").alias("own"), "n", F.struct(*entries).alias("fine")).join(widely, "own").join(coarse, "wide")
+    judge = judge.select(F.col("own").alias("g"), F.when(F.col("n") >= least_rows, F.col("fine")).otherwise(F.col("coarse")).alias("model"))
+    judge = ws.save(judge.select("g", "model.*"), "judge")
+    judged = _attach(vectors.withColumnRenamed("own", "g"), judge).withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("distance") <= CUTOFF)).alias("kept"), "distance")
 
 
