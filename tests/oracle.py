@@ -46,7 +46,7 @@ if __name__ == "__main__":
     sf, only, bad = sys.argv[1], sys.argv[2:], 0
     con, sqls = connect(sf), E.oracle_sql()
     for name, query in E.queries().items():
-        if only and name not in only or not only and (name.startswith("op") or name == "pipeline"):
+        if only and name not in only or not only and (name.startswith(("op", "llm_")) or name == "pipeline"):
             continue
         try:
             found = differences(query(spark, sf), con, sqls[name]) if name in sqls else query(spark, sf).count() and None
