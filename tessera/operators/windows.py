@@ -20,8 +20,9 @@ def groups_frame(df: DataFrame, partition: list[str], order: list[Column], start
 def excluding_sum(df: DataFrame, partition: list[str], order: list[Column], start: int, end: int, value: str, exclude: str, name: str) -> DataFrame:
     """sum(value) over a ROWS frame without the current row, its peer group or its ties.
 
-    The current row is subtracted arithmetically; groups and ties subtract the sum of the peers within the frame, itself
-    a frame over the same partitioning, so no frame is collected.
+    The current row is subtracted arithmetically.  Over a whole partition peers are too: their sum is a window over the
+    partition and the peer group, which needs no further shuffle.  Under other bounds a frame's values are held, so these
+    are for bounded frames.
     """
     by = Window.partitionBy(*partition).orderBy(*order)
     rows = by.rowsBetween(start, end)
@@ -30,6 +31,10 @@ def excluding_sum(df: DataFrame, partition: list[str], order: list[Column], star
     own_n = F.col(value).isNotNull().cast("int") if start <= 0 <= end else F.lit(0)
     if exclude == "CURRENT ROW":
         out, n = own, own_n
+    elif start <= Window.unboundedPreceding and end >= Window.unboundedFollowing:
+        group = Window.partitionBy(*partition, "_group")
+        held, number = F.coalesce(F.sum(value).over(group), F.lit(0)), F.count(value).over(group)
+        out, n = (held, number) if exclude == "GROUP" else (held - own, number - own_n)
     else:
         listed = F.collect_list(F.struct("_row", "_group", F.col(value).alias("v"))).over(rows)
         peers = F.filter(listed, lambda e: (e["_group"] == F.col("_group")) & e["v"].isNotNull() & ((e["_row"] != F.col("_row")) if exclude == "TIES" else F.lit(True)))

@@ -74,6 +74,7 @@ for _name, _frame in {
     "win_groups_sql": "GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING", "win_groups_current": "GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING",
     "win_exclude_group": "ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE GROUP", "win_exclude_ties": "GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE TIES",
     "win_exclude_no_others": "RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE NO OTHERS", "win_exclude_current_all": "RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW",
+    "win_exclude_whole_group": "RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP", "win_exclude_whole_ties": "GROUPS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES",
     "win_exclude_groups_group": "GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP",
 }.items():
     _order = "g, o_orderkey" if _frame.startswith("ROWS") else "g"
@@ -126,3 +127,11 @@ dialect("trigger_instead_of", _MADE + "CREATE VIEW v AS SELECT id, name FROM st
 dialect("autoincrement", "CREATE TABLE au(id INTEGER PRIMARY KEY AUTOINCREMENT, x INT); INSERT INTO au(x) SELECT n_nationkey FROM nation; DELETE FROM au; INSERT INTO au(x) VALUES (1); SELECT id, x FROM au", "SELECT 26 AS id, 1 AS x")
 dialect("catalog_pragmas", _MADE + "CREATE UNIQUE INDEX ix ON st(name) WHERE region > 90; SELECT 'c' AS kind, name FROM pragma_table_info('st') UNION ALL SELECT 'i', name FROM pragma_index_list('st') UNION ALL SELECT type, name FROM sqlite_schema", "SELECT * FROM (VALUES ('c', 'id'), ('c', 'name'), ('c', 'region'), ('i', 'ix'), ('table', 'st'), ('index', 'ix')) v(kind, name)")
 dialect("changes_counts", _MADE + "DELETE FROM st WHERE region < 2; SELECT changes() AS c, total_changes() AS t, last_insert_rowid() AS l", "SELECT count(*) FILTER (WHERE n_regionkey < 2) AS c, count(*) + count(*) FILTER (WHERE n_regionkey < 2) AS t, max(n_nationkey) AS l FROM nation")
+dialect("recursive_trigger_flag", "PRAGMA recursive_triggers = ON; PRAGMA recursive_triggers", "SELECT 1 AS recursive_triggers")
+dialect("integrity_check", _MADE + "PRAGMA integrity_check", "SELECT 'ok' AS integrity_check")
+dialect("trigger_raise_ignore", _MADE + "CREATE TRIGGER keep BEFORE INSERT ON st BEGIN SELECT RAISE(IGNORE) WHERE NEW.region > 50; END; INSERT INTO st VALUES (200, 'out', 60), (201, 'in', 5); SELECT * FROM st", f"SELECT * FROM {_N} UNION ALL SELECT 201::BIGINT, 'in', 5::BIGINT")
+dialect("index_expression_unique", _MADE + "CREATE UNIQUE INDEX ue ON st(lower(name)); INSERT OR IGNORE INTO st SELECT n_nationkey, n_name, 1 FROM nation; SELECT count(*) AS n FROM st", "SELECT count(*) AS n FROM nation")
+dialect("without_rowid", "CREATE TABLE wr(a TEXT, b INT, PRIMARY KEY(a, b)) WITHOUT ROWID; INSERT INTO wr SELECT n_name, n_regionkey FROM nation; INSERT OR REPLACE INTO wr VALUES ('NATION_1', 1); DELETE FROM wr WHERE b = 0; SELECT * FROM wr", "SELECT n_name AS a, n_regionkey AS b FROM nation WHERE n_regionkey <> 0")
+dialect("dml_update_policy", _MADE + "CREATE UNIQUE INDEX un ON st(name); UPDATE OR IGNORE st SET name = 'NATION_1' WHERE id = 2; UPDATE OR REPLACE st SET name = 'NATION_3' WHERE id = 4; SELECT * FROM st", f"SELECT id, CASE id WHEN 4 THEN 'NATION_3' ELSE name END AS name, region FROM {_N} WHERE id <> 3")
+dialect("dml_column_list_subquery", _MADE + "UPDATE st SET (name, region) = (SELECT r_name, r_regionkey + 20 FROM region WHERE r_regionkey = st.region) WHERE id < 10; SELECT * FROM st", "SELECT n_nationkey AS id, CASE WHEN n_nationkey < 10 THEN r_name ELSE n_name END AS name, CASE WHEN n_nationkey < 10 THEN n_regionkey + 20 ELSE n_regionkey END AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
+dialect("fk_list_pragma", "CREATE TABLE par(id INTEGER PRIMARY KEY); CREATE TABLE kid(p INT REFERENCES par(id) ON DELETE CASCADE); PRAGMA foreign_key_list(kid)", "SELECT 0 AS id, 0 AS seq, 'par' AS \"table\", 'p' AS \"from\", 'id' AS \"to\", 'NO ACTION' AS on_update, 'CASCADE' AS on_delete, 'NONE' AS match")

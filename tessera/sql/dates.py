@@ -22,6 +22,11 @@ def _julian(sql: str) -> str:
     return f"CAST(round(({sql} - 2440587.5D) * {_DAY}) AS BIGINT)"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for a value that it uses many times: spelled out, nested values would grow without end."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _base(x: Arg, first: str | None) -> str:
     """Milliseconds of a time value: text in the usual forms, a day number, or a Spark date or timestamp."""
     sql, kind = x
@@ -34,7 +39,7 @@ def _base(x: Arg, first: str | None) -> str:
         if first == "auto":
             return f"if({v} BETWEEN 0 AND 5373484.499999, {_julian(v)}, CAST(round({v} * 1000) AS BIGINT))"
         return f"if({v} BETWEEN 0 AND 5373484.499999, {_julian(v)}, NULL)"
-    s = f"trim({text_of(x)})"
+    s = "s"
     # the zone is read as an offset that is taken off; a time alone is of 2000-01-01
     shape = r"'^(?:\\d{4}-\\d\\d-\\d\\d(?:[ T]+\\d\\d:\\d\\d(?::\\d\\d(?:\\.\\d+)?)?)?|\\d\\d:\\d\\d(?::\\d\\d(?:\\.\\d+)?)?) *(?:Z|z|[+-]\\d\\d:\\d\\d)?$'"
     zone = lambda i: rf"regexp_extract({s}, '([+-])(\\d\\d):(\\d\\d)$', {i})"
@@ -45,21 +50,24 @@ def _base(x: Arg, first: str | None) -> str:
     offset = f"if({at_zone}, if({zone(1)} = '-', 1, -1) * (try_cast({zone(2)} AS INT) * 60 + try_cast({zone(3)} AS INT)) * 60000L, 0L)"
     number = f"try_cast({s} AS DOUBLE)"
     numeric = f"CAST(round({number} * 1000) AS BIGINT)" if first == "unixepoch" else _julian(number)
-    return f"CASE WHEN {s} RLIKE {shape} THEN unix_millis(try_cast({timed} AS TIMESTAMP)) + {offset} WHEN typeof({sql}) IN ('timestamp', 'date', 'timestamp_ntz') THEN unix_millis(try_cast({sql} AS TIMESTAMP)) ELSE {numeric} END"
+    text = f"CASE WHEN {s} RLIKE {shape} THEN unix_millis(try_cast({timed} AS TIMESTAMP)) + {offset} ELSE {numeric} END"
+    if kind is None:
+        return f"CASE WHEN typeof({sql}) IN ('timestamp', 'date', 'timestamp_ntz') THEN unix_millis(try_cast({sql} AS TIMESTAMP)) ELSE {_let('s', f'trim({text_of(x)})', text)} END"
+    return _let("s", f"trim({text_of(x)})", text)
 
 
 def _ts(ms: str) -> str:
     return f"timestamp_millis({ms})"
 
 
-def _shift_months(ms: str, n: int, clamp: bool = False) -> str:
-    t = _ts(ms)
+def _shift_months(ms: str, n: int | str, clamp: bool = False) -> str:
+    t = "timestamp_millis(m)"
     total = f"(year({t}) * 12 + month({t}) - 1 + ({n}))"
     first = f"make_date(CAST(floor({total} / 12) AS INT), CAST(pmod({total}, 12) + 1 AS INT), 1)"
     day = f"(day({t}) - 1)"
     if clamp:
         day = f"least({day}, day(last_day({first})) - 1)"
-    return f"(unix_millis(CAST(date_add({first}, {day}) AS TIMESTAMP)) + pmod({ms}, {_DAY}L))"
+    return _let("m", ms, f"unix_millis(CAST(date_add({first}, {day}) AS TIMESTAMP)) + pmod(m, {_DAY}L)")
 
 
 def _modified(ms: str, modifiers: list[str]) -> str | None:
@@ -73,7 +81,7 @@ def _modified(ms: str, modifiers: list[str]) -> str | None:
         elif found := re.fullmatch(r"start of (day|month|year)", m):
             ms = f"unix_millis(date_trunc('{found[1]}', {_ts(ms)}))"
         elif found := re.fullmatch(r"weekday ([0-6])", m):
-            ms = f"({ms} + pmod({found[1]} - (dayofweek({_ts(ms)}) - 1), 7) * {_DAY}L)"
+            ms = _let("m", ms, f"m + pmod({found[1]} - (dayofweek(timestamp_millis(m)) - 1), 7) * {_DAY}L")
         elif found := re.fullmatch(r"([+-])(\d{4})-(\d\d)-(\d\d)(?: +(\d\d):(\d\d)(?::(\d\d(?:\.\d+)?))?)?", m):
             sign = -1 if found[1] == "-" else 1
             ms = _shift_months(ms, sign * (int(found[2]) * 12 + int(found[3])))
@@ -116,8 +124,8 @@ def strftime(xs: list[Arg]) -> Arg:
     m = re.fullmatch(r"'(.*)'", xs[0][0], re.S)
     if not m:
         raise SqlError("strftime() takes a constant format")
-    ms, _ = _instant(xs[1:])
-    t = _ts(ms)
+    at_ms, _ = _instant(xs[1:])
+    ms, t = "ms", "timestamp_millis(ms)"
     form = lambda f: f"date_format({t}, '{f}')"
     pad = lambda x, n, c="0": f"lpad(CAST({x} AS STRING), {n}, '{c}')"
     twelve = f"(pmod(hour({t}) + 11, 12) + 1)"
@@ -134,20 +142,25 @@ def strftime(xs: list[Arg]) -> Arg:
             return "CAST(NULL AS STRING)", "text"
         pieces += [f"'{m[1][at : k.start()]}'", codes[k[1]]]
         at = k.end()
-    return f"concat({', '.join([*pieces, chr(39) + m[1][at:] + chr(39)])})", "text"
+    return _let("ms", at_ms, f"concat({', '.join([*pieces, chr(39) + m[1][at:] + chr(39)])})"), "text"
 
 
 def timediff(xs: list[Arg]) -> Arg:
     """How far the first time lies after the second: whole months first, overflowing forward as '+N months' does."""
     a, b = _instant(xs[:1])[0], _instant(xs[1:])[0]
-    low, high = f"least({a}, {b})", f"greatest({a}, {b})"
-    apart = f"((year({_ts(high)}) - year({_ts(low)})) * 12 + month({_ts(high)}) - month({_ts(low)}))"
-    months = f"({apart} - if({_shift_months(low, apart)} > {high}, 1, 0))"
-    rest = f"({high} - {_shift_months(low, months)})"
+    apart = "((year(timestamp_millis(e.high)) - year(timestamp_millis(e.low))) * 12 + month(timestamp_millis(e.high)) - month(timestamp_millis(e.low)))"
+    months = f"struct(e.a AS a, e.b AS b, e.low AS low, e.high AS high, {apart} AS n)"
+    whole = f"struct(f.a AS a, f.b AS b, f.low AS low, f.high AS high, f.n - if({_shift_months('f.low', 'f.n')} > f.high, 1, 0) AS n)"
+    rest = f"struct(g.a >= g.b AS later, g.n AS n, g.high - {_shift_months('g.low', 'g.n')} AS rest)"
     pad = lambda x, n: f"lpad(CAST(CAST({x} AS BIGINT) AS STRING), {n}, '0')"
-    left = f"pmod({rest}, {_DAY}L)"
-    return (f"concat(if({a} >= {b}, '+', '-'), {pad(f'floor({months} / 12)', 4)}, '-', {pad(f'pmod({months}, 12)', 2)}, '-', {pad(f'floor({rest} / {_DAY})', 2)}, ' ', "
-            f"{pad(f'floor({left} / 3600000)', 2)}, ':', {pad(f'pmod(floor({left} / 60000), 60)', 2)}, ':', {pad(f'pmod(floor({left} / 1000), 60)', 2)}, '.', {pad(f'pmod({left}, 1000)', 3)})"), "text"
+    left = f"pmod(h.rest, {_DAY}L)"
+    shown = (f"concat(if(h.later, '+', '-'), {pad('floor(h.n / 12)', 4)}, '-', {pad('pmod(h.n, 12)', 2)}, '-', {pad(f'floor(h.rest / {_DAY})', 2)}, ' ', "
+             f"{pad(f'floor({left} / 3600000)', 2)}, ':', {pad(f'pmod(floor({left} / 60000), 60)', 2)}, ':', {pad(f'pmod(floor({left} / 1000), 60)', 2)}, '.', {pad(f'pmod({left}, 1000)', 3)})")
+    ends = "struct(d.a AS a, d.b AS b, least(d.a, d.b) AS low, greatest(d.a, d.b) AS high)"
+    out = _let("h", rest, shown)
+    for name, value in (("g", whole), ("f", months), ("e", ends), ("d", f"struct({a} AS a, {b} AS b)")):
+        out = _let(name, value, out)
+    return out, "text"
 
 
 SCALARS = {

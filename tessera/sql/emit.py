@@ -409,6 +409,9 @@ class Emitter:
         v = xs[0] if xs else ("1L", "integer")
         if name in ("sum", "total", "avg"):
             v = C.number_of(v)
+        whole = not o.order and not o.frame or o.frame and o.frame[1][0] == "-INF" and o.frame[2][0] == "INF"
+        if whole and name in ("count", "sum", "total", "avg") and not n.options.get("filter"):
+            return self._difference(name, v, bool(xs), o, scope, mark)
         keep = {"CURRENT ROW": f"e.r <> _row{mark}", "GROUP": f"e.g <> _group{mark}", "TIES": f"(e.g <> _group{mark} OR e.r = _row{mark})"}[o.exclude]
         condition = f" FILTER (WHERE {C.truth_of(self.value(n.options['filter'], scope))})" if n.options.get("filter") else ""
         rows = f"array_sort(filter(collect_list(struct(_row{mark} AS r, _group{mark} AS g, {v[0]} AS v)){condition} OVER ({by}{frame}), e -> {keep}))"
@@ -427,6 +430,26 @@ class Emitter:
             raise SqlError(f"{name}() doesn't take EXCLUDE")
         return forms[name]
 
+    def _difference(self, name: str, v: Arg, given: bool, o: Over, scope: Scope, mark) -> Arg:
+        """EXCLUDE over a whole partition without holding it: its sums less those of the row's peers, or of the row."""
+        parts = ", ".join(self.value(p, scope)[0] for p in o.partition)
+        every = f"PARTITION BY {parts}" if parts else ""
+        peers = f"PARTITION BY {parts + ', ' if parts else ''}_group{mark}"
+        x = v[0]
+        own_n, own = (f"if(({x}) IS NULL, 0L, 1L)", f"coalesce({x}, 0)") if given else ("1L", "1L")
+
+        def less(aggregate: str, one: str) -> str:
+            gone = {"CURRENT ROW": one, "GROUP": f"{aggregate} OVER ({peers})", "TIES": f"({aggregate} OVER ({peers}) - {one})"}[o.exclude]
+            return f"({aggregate} OVER ({every}) - {gone})"
+
+        n = less(f"count({x if given else '*'})", own_n)
+        if name == "count":
+            return n, "integer"
+        total = less(f"sum(coalesce({x}, 0))", own)
+        if name == "total":
+            return f"CAST({total} AS DOUBLE)", "real"
+        return f"if({n} > 0, {total}{f' / {n}' if name == 'avg' else ''}, NULL)", "real" if name == "avg" else v[1]
+
     # -- aggregates; \x00 stands where OVER belongs
     def aggregate(self, n: Node, scope: Scope) -> Arg:
         name, args = n.parts
