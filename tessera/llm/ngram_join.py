@@ -8,7 +8,8 @@ document from the estimated cost of its candidates: longer prefixes cost posting
 verify.
 
 Equal sets are one class from the start, so exact copies never meet in the join.  Within a shingle's posting list the
-members first meet only one pivot (a star, not all pairs); verified stars are merged into components, and only members
+members first meet only one pivot (a star, not all pairs); stars that share enough prefix shingles are verified and
+merged into components, and only members
 of different components meet afterwards, pruned by the triangle inequality of the Jaccard distance to their pivot.
 
 That gives the components, but not every link inside them.  Where links are counted, the sets of each component that is
@@ -321,11 +322,23 @@ class _Join:
         self.postings = self.ws.save(posted, "postings")
         return self.postings
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Exact (a, b, shared, joint) of class pairs within the size bounds."""
+    def _bound(self) -> str:
+        """Fewest prefix shingles that a linked pair x, y shares: of its T common ones at most max(T' - l) lie beyond the
+        prefix that ends first, T' being each side's own bound."""
+        p = self.percent
+        return f"((x.n + y.n) * {p}L + {99 + p}L) div {100 + p}L - greatest((x.n * {p}L + 99) div 100 - x.ell, (y.n * {p}L + 99) div 100 - y.ell)"
+
+    def verify(self, pairs: DataFrame, counted: bool = False) -> DataFrame:
+        """Exact (a, b, shared, joint) of class pairs within the size bounds that share enough of their prefixes.
+
+        ``counted`` pairs have had their shared prefix shingles counted already."""
         side = lambda x: self.classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"))
         self.turn += 1
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) * 100L >= greatest(n_a, n_b) * {self.percent}L")
+        if not counted:
+            x, y = self.prefixes.alias("x"), self.prefixes.alias("y")
+            met = sized.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls"))
+            sized = met.where(f"size(array_intersect(x.tokens, y.tokens)) >= {self._bound()}")
         pairs = self.ws.save(sized.select("a", "b", "rep_a", "rep_b"), f"pairs_{self.turn}")
         ids = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select("rep_b"))
         bits = self.spark.sparkContext.broadcast(_bitmap(ids, "rep"))
@@ -342,6 +355,8 @@ class _Join:
         empty = self.spark.createDataFrame([], "a long, b long")
         if self.survey().isEmpty():
             return empty, None
+        # a shingle that two classes share is in both arrays: only postings of one class alone were left out
+        self.prefixes = self.ws.save(self.postings.groupBy("cls").agg(F.collect_set("token").alias("tokens"), F.first("n").alias("n"), F.first("ell").alias("ell")), "prefixes")
         verified, labels = None, None
         open_postings = self.postings
         for turn in range(2):
@@ -359,7 +374,7 @@ class _Join:
                 open_postings = open_postings.withColumn("low", F.coalesce("after", "low"))
         if crossing:
             pairs = self._crossing(open_postings, verified)
-            checked = self.verify(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"))
+            checked = self.verify(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"), counted=True)
             verified = verified.unionByName(checked)
             labels = components(self._passed(verified), self.ws, "final")
         return self._passed(verified), labels
@@ -426,8 +441,6 @@ class _Join:
     def _crossing(self, postings: DataFrame, verified: DataFrame) -> DataFrame:
         """Pairs of different components that share enough of their prefixes.
 
-        Of the T shared shingles of a pair, at most max(n - prefix length) = max(T' - l) lie beyond the prefix that ends
-        first, T' being each side's own bound; so at least T - max(T' - l) are in both prefixes.
         A prefix token that no other component holds can't be shared: only open tokens count.  With the open tokens of
         each side in one order, rarest first, a pair that shares h of them shares one at a rank with h - 1 others behind it
         on both sides, so a list makes a pair only there; the arrays of open tokens then give the full number of hits.
@@ -441,7 +454,7 @@ class _Join:
         known = pivot.join(far, ["cls", "leader"], "left").withColumn("gap", F.when(F.col("cls") == F.col("leader"), F.lit(0.0)).otherwise(F.col("gap")))
         known = self.ws.save(known, "known")
         slack = 1 - percent / 100 + 1e-9
-        bound = f"((x.n + y.n) * {percent}L + {99 + percent}L) div {100 + percent}L - greatest((x.n * {percent}L + 99) div 100 - x.ell, (y.n * {percent}L + 99) div 100 - y.ell)"
+        bound = self._bound()
         met = (
             known.alias("x")
             .join(known.alias("y"), F.expr(f"""

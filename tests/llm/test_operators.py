@@ -120,7 +120,7 @@ def test_determinants(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = range(len(quality_rules.DIMS))
-    rows = quality_rules._vectors(quality_rules.counts(docs)).where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
+    rows = Workspace(spark, "rows").save(quality_rules._vectors(quality_rules.counts(docs)), "rows").where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
     model = {r.g: r for r in quality_rules.estimates(rows.selectExpr("*", "'own' AS own", "lang AS wide", "false AS base_failed"), Workspace(spark, "mcd")).collect()}
     kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, least_rows=10**9).collect()}
     held = rows.collect()
@@ -136,7 +136,7 @@ def test_determinants(spark):
             return np.linalg.slogdet(cov)[1], (gap @ np.linalg.inv(cov) * gap).sum(1)
 
         best = (np.inf, None)
-        for _ in range(40):
+        for _ in range(20):
             some = x[rng.choice(len(x), len(p) + 1, replace=False)]
             for _ in range(30):
                 det, d = fit(some)
