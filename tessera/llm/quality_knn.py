@@ -21,6 +21,8 @@ from tessera.llm.labelled import fold, sample
 
 #: labelled rows of each label that are broadcast, dimensions of a vector, neighbours that vote, power of similarity
 MOST, RANK, NEIGHBOURS, POWER, BLOCK = 1500, 32, 15, 8, 512
+#: blocks of a Krylov basis, and its restarts at most
+DEPTH, ROUNDS = 5, 60
 
 _SIGNS = b"#*$%&|<>!?.,:;-\"'()"
 _CLASS = np.full(256, 2, np.int64)  # other signs
@@ -87,6 +89,30 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def strongest(matrix: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``rank`` largest eigenvalues of a symmetric matrix without large negative ones, falling, and their vectors.
+
+    Restarted block Krylov iteration until they stand still; nothing of the matrix's size is held beside it.  A matrix
+    that is small, or won't settle, is decomposed whole.
+    """
+    n, wide = len(matrix), 2 * rank
+    if n > DEPTH * wide:
+        by = lambda q: np.concatenate([matrix[i : i + BLOCK].astype(float) @ q for i in range(0, n, BLOCK)])
+        own = np.linalg.qr(np.random.default_rng(0).standard_normal((n, wide)))[0]
+        for _ in range(ROUNDS):
+            grown = [own]
+            for _ in range(DEPTH - 1):
+                grown.append(np.linalg.qr(by(grown[-1]))[0])
+            basis = np.linalg.qr(np.concatenate(grown, axis=1))[0]
+            moved = by(basis)
+            power, turn = np.linalg.eigh(basis.T @ moved)
+            own, power, moved = basis @ turn[:, : -wide - 1 : -1], power[: -rank - 1 : -1], moved @ turn[:, : -rank - 1 : -1]
+            if np.linalg.norm(moved - own[:, :rank] * power, axis=0).max() <= 1e-9 * max(power[0], 1e-9):
+                return power, own[:, :rank]
+    power, left = np.linalg.eigh(matrix.astype(float))
+    return power[: -rank - 1 : -1], left[:, : -rank - 1 : -1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """Fit on at most ``most`` rows of each label; with no labelled rows every score is one half."""
 
@@ -100,25 +126,48 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     if not rows:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     y = np.array([r[0] for r in rows], float)
-    row = lambda r: np.frombuffer(pa.decompress(bytes(r[1]), decompressed_size=2 * DIMENSIONS, codec="zstd", asbytes=True), np.float16)
+
+    def row(r) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(pa.decompress(bytes(r[1]), decompressed_size=2 * DIMENSIONS, codec="zstd", asbytes=True), np.float16)
+        at = np.flatnonzero(x).astype(np.uint16)
+        return at, x[at]
+
+    held = [row(r) for r in rows]
     times = np.zeros(DIMENSIONS, np.int64)
-    for r in rows:
-        times += row(r) > 0
-    used = np.flatnonzero(times)  # only these columns are ever held densely here
-    x = np.empty((len(rows), len(used)), np.float32)
-    for i, r in enumerate(rows):
-        x[i] = row(r)[used]
-    weights = (1 + np.log((1 + len(x)) / (1 + times))).astype(np.float32)
-    weighted = x * weights[used]
+    for at, _ in held:
+        times[at] += 1
+    used = np.flatnonzero(times)
+    weights = (1 + np.log((1 + len(held)) / (1 + times))).astype(np.float32)
+    column = np.cumsum(times > 0) - 1
+    blocks = range(0, len(held), BLOCK)
+
+    def weighted(low: int) -> np.ndarray:
+        """BLOCK rows from ``low``, dense in the used columns: never all rows at once."""
+        out = np.zeros((len(held[low : low + BLOCK]), len(used)), np.float32)
+        for i, (at, values) in enumerate(held[low : low + BLOCK]):
+            out[i, column[at]] = values
+        return np.multiply(out, weights[used], out=out)
+
     # right singular vectors from the Gram matrix of the rows, at most 2 * MOST of them whatever the columns
-    power, left = np.linalg.eigh((weighted @ weighted.T).astype(float))
-    strong = [i for i in range(len(rows) - 1, max(-1, len(rows) - 1 - RANK), -1) if power[i] > 1e-8 * max(power[-1], 1e-9)]
-    right = weighted.T @ (left[:, strong] / np.sqrt(power[strong])).astype(np.float32)
+    gram = np.empty((len(held), len(held)), np.float32)
+    for low in blocks:
+        own = weighted(low)
+        for other in range(0, low + 1, BLOCK):
+            tile = own @ (own if other == low else weighted(other)).T
+            gram[low : low + BLOCK, other : other + BLOCK], gram[other : other + BLOCK, low : low + BLOCK] = tile, tile.T
+    power, left = strongest(gram, RANK)
+    del gram
+    strong = power > 1e-8 * max(power[0], 1e-9)
+    left = (left[:, strong] / np.sqrt(power[strong])).astype(np.float32)
+    right = np.zeros((len(used), left.shape[1]), np.float32)
+    for low in blocks:
+        right += weighted(low).T @ left[low : low + BLOCK]
     basis = np.zeros((DIMENSIONS, max(1, right.shape[1])), np.float32)
     basis[used, : right.shape[1]] = right
     model = Model(weights, basis, np.zeros((0, basis.shape[1]), np.float32), y, float(y.mean()))
-    projected = weighted @ basis[used]
+    projected = np.concatenate([weighted(low) @ basis[used] for low in blocks])
     model.vectors = (projected / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    K.release()
     return model
 
 

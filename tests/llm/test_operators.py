@@ -354,6 +354,39 @@ def test_nearest_votes(spark, tables):
             assert abs(score - (vote * model.labels[near]).sum() / vote.sum()) < 1e-3
 
 
+def test_quality_fit_is_bounded(spark):
+    """A full sample with nearly every feature in use: never dense as a whole on the driver."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    signs = np.array(list("ab0é \n~#*$%&|<>!?.,:;-\"'()"))
+    rows = [(i, "".join(rng.choice(signs[i % 2 :], 900)), i % 2) for i in range(4700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    tracemalloc.start()
+    try:
+        model = quality_knn.fit(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.labels) == 2 * quality_knn.MOST and peak < 180 << 20
+
+
+def test_strongest_directions():
+    """Against the whole decomposition: falling spectra, repeated values, fewer directions than asked for."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.standard_normal((800, 800)))[0]
+    for values in (0.97 ** np.arange(800), np.repeat(0.9 ** np.arange(80), 10), np.where(np.arange(800) < 5, 1.0, 0.0), np.zeros(800)):
+        matrix = ((turn * values) @ turn.T).astype(np.float32)
+        power, left = quality_knn.strongest(matrix, 32)
+        want = np.linalg.eigvalsh(matrix.astype(float))[:-33:-1]
+        assert np.abs(power - want).max() < 1e-6 and np.abs(left.T @ left - np.eye(32)).max() < 1e-9
+        assert np.abs(matrix @ left - left * power).max() < 1e-5
+
+
 def test_url_filter(spark, tables):
     urls = ["https://www.lucky-casino.example.net/en/3", "https://Blog.garden-notes.Example.net/en/3?x", "http://a.example.org/es/1", "http://a.example.org/x", "http://b.com/de/", "nothing", None, "http://c.org", "HTTP://É.Org?a/b", "://", "x://h#/p", "http://" + "a" * 100_000 + ".net/" + "b" * 100_000]
     docs = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("label", F.lit(1))
