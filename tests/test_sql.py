@@ -167,3 +167,14 @@ def test_failed_statement_changes_nothing(spark):
             db.execute(bad)
         assert [r[0] for r in db.query("SELECT id FROM pp UNION ALL SELECT p FROM cc").collect()] == [1, 1]
     assert emit.SCALARS
+
+
+def test_failed_update_keeps_the_transaction(spark):
+    db = Database(spark)
+    db.execute("PRAGMA foreign_keys = ON; CREATE TABLE pk(id INTEGER PRIMARY KEY); CREATE TABLE ck(p INT REFERENCES pk(id)); INSERT INTO pk VALUES (1); INSERT INTO ck VALUES (1)")
+    db.execute("BEGIN; INSERT INTO pk VALUES (3)")
+    with pytest.raises(ConstraintError):
+        db.execute("UPDATE pk SET id = 2 WHERE id = 1")
+    assert sorted(r[0] for r in db.query("SELECT id FROM pk").collect()) == [1, 3]
+    db.execute("ROLLBACK")
+    assert [r[0] for r in db.query("SELECT id FROM pk").collect()] == [1]
